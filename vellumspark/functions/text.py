@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 # Character classes.
 WORD = r"\p{L}\p{N}_"
-WS = r"\t-\r\x1C-\x20\x85\xA0  -     　"
+WS = r"\t-\r\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 EDGE = rf"(?:(?<![{WORD}])(?=[{WORD}])|(?<=[{WORD}])(?![{WORD}]))"
 
 # The patterns of the cleaning and tokenising rules.
