@@ -18,10 +18,17 @@ def current_documents(spark: SparkSession, sf_dir: str, *payload: str) -> DataFr
     return current_rows(load(spark, sf_dir, "documents"), ["doc_id"], "loaded_at", list(payload))
 
 
-def current_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """item_kind, owner_id, item_id, text of the current chunks and content blocks."""
+def current_chunk_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """item_kind, owner_id, item_id, text of the current chunks."""
     chunks = current_chunks(spark, sf_dir, "paper_id", "content_text")
+    return chunks.select(F.lit("chunk").alias("item_kind"), F.col("paper_id").alias("owner_id"), F.col("chunk_id").alias("item_id"), F.col("content_text").alias("text"))
+
+
+def current_block_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of the current content blocks."""
     blocks = current_rows(load(spark, sf_dir, "content_blocks"), ["doc_id", "block_id"], "extracted_at", ["text"])
-    return chunks.select(F.lit("chunk").alias("item_kind"), F.col("paper_id").alias("owner_id"), F.col("chunk_id").alias("item_id"), F.col("content_text").alias("text")).unionByName(
-        blocks.select(F.lit("block").alias("item_kind"), F.col("doc_id").alias("owner_id"), F.col("block_id").alias("item_id"), "text")
-    )
+    return blocks.select(F.lit("block").alias("item_kind"), F.col("doc_id").alias("owner_id"), F.col("block_id").alias("item_id"), "text")
+
+
+def current_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return current_chunk_items(spark, sf_dir).unionByName(current_block_items(spark, sf_dir))

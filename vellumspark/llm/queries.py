@@ -9,7 +9,7 @@ from vellumspark.functions.text import clean_terms
 from vellumspark.llm.distinctive import count_terms, log_entropy
 from vellumspark.llm.encoding import encode_texts
 from vellumspark.llm.frequency import term_frequencies
-from vellumspark.llm.items import current_chunks, current_documents, current_items
+from vellumspark.llm.items import current_block_items, current_chunk_items, current_chunks, current_documents, current_items
 from vellumspark.llm.leakage import leaked_items
 from vellumspark.llm.neighbours import nearest
 from vellumspark.llm.ranking import fuse_scores
@@ -22,9 +22,12 @@ ITEM = ["item_kind", "owner_id", "item_id"]
 
 
 def _scored_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = current_items(spark, sf_dir)
-    records = items.groupBy("item_kind").agg(F.count(F.lit(1)).alias("n"))
-    return log_entropy(count_terms(items, ITEM, clean_terms(F.col("text"))), records, ["item_kind"])
+    """Each kind by itself: the rows of a kind lie by their key already, and a union would forget it and shuffle every posting."""
+    kinds = []
+    for items, table, key in ((current_chunk_items(spark, sf_dir), "chunks", ["chunk_id"]), (current_block_items(spark, sf_dir), "content_blocks", ["doc_id", "block_id"])):
+        records = load(spark, sf_dir, table).select(*key).distinct().agg(F.count(F.lit(1)).alias("n"))  # without the texts
+        kinds.append(log_entropy(count_terms(items, ITEM, clean_terms(F.col("text"))), records))
+    return kinds[0].unionByName(kinds[1])
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
