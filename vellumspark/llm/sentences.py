@@ -44,7 +44,7 @@ CLOSERS = r"""(?:["”“’'»«›‹)\]】」』）》〉]|[ \xa0 ]+»)*"""
 BEGINS = re.compile(rf"[\n.!?…؟۔‼⁇⁈⁉。！？｡।॥「『“《」』”》](?:(?<![\n.!?…])|(?![{CASED}]))")
 GAP_RUN = re.compile(r"\n\s*\n")
 MARK_RUN = re.compile(rf"[.!?…؟۔‼⁇⁈⁉]+(?![{CASED}]){CLOSERS}")
-CJK_RUN = re.compile(rf"[。！？｡]+{CLOSERS}")
+CJK_RUN = re.compile(r"""[。！？｡]+["”’」』】）》〉)\]]*""")
 DANDA_RUN = re.compile(rf"[।॥]+{CLOSERS}")
 THAI_BLANK = re.compile(r"[ก-๛]\s+")
 KIND = {c: k for k, cs in (("mark", ".!?…؟۔‼⁇⁈⁉"), ("cjk", "。！？｡"), ("danda", "।॥"), ("open", "「『《"), ("close", "」』”》"), ("gap", "\n"), ("either", "“")) for c in cs}
