@@ -52,7 +52,7 @@ def is_prose(sentence: Column, has_verb: Callable[[Column], Column] | None = Non
 
 def prose_sentences(text: Column) -> Column:
     """The prose sentences of a text, in order."""
-    return F.filter(segment(text), is_prose)
+    return F.filter(segment(text), lambda s: is_prose(s))
 
 
 def is_acknowledgement(sentence: Column) -> Column:

@@ -88,7 +88,7 @@ def chunk_documents(blocks: DataFrame, sections: DataFrame, papers: DataFrame, c
     """
     units = sentence_units(section_runs(blocks, sections)).where(F.size("units") > 0)
     cut = units.withColumn("_bounds", _bounds_column(F.transform("units", lambda u: u["tokens"]), config))
-    rows = cut.select("doc_id", "run", "section_title", "section_id", "parent", "units", F.posexplode("_bounds").alias("_n", "_b"))
+    rows = cut.select("doc_id", "run", "section_title", "section_id", "parent", "units", F.posexplode_outer("_bounds").alias("_n", "_b")).where("_b is not null")  # outer: no filter on the function is inferred below it
     own = F.concat(F.slice("units", F.col("_b.first") + 1, F.col("_b.end") - F.col("_b.first")), F.slice("units", F.col("_b.tail") + 1, F.greatest(F.size("units") - F.col("_b.tail"), F.lit(0))))
     rows = rows.select("doc_id", "run", "section_title", "section_id", "parent", "_n", own.alias("_own"), "_b")
     rows = rows.join(papers.select("doc_id", "paper_id", F.col("title").alias("paper_title")), "doc_id", "left")

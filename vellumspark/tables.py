@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -42,3 +44,19 @@ def cut(df: DataFrame) -> DataFrame:
     """`df` written to the checkpoint folder and read again: its lineage ends there and survives the loss of executors."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """`df` written as a compressed table below the checkpoint folder and read again: for what is read more than once and is much smaller in columns. Removed when Python ends."""
+    folder = f"{ensure_checkpoint_dir(df.sparkSession)}/vellum-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(folder)
+    atexit.register(_remove, df.sparkSession, folder)
+    return df.sparkSession.read.parquet(folder)
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    try:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # noqa: BLE001 - the session may be gone
+        pass
