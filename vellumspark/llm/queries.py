@@ -13,10 +13,10 @@ from vellumspark.llm.items import current_block_items, current_chunk_items, curr
 from vellumspark.llm.leakage import leaked_items
 from vellumspark.llm.neighbours import nearest
 from vellumspark.llm.ranking import fuse_scores
-from vellumspark.llm.reading import fit, reading_levels
+from vellumspark.llm.reading import fit, item_table, reading_levels
 from vellumspark.llm.sentences import sentence_bounds
 from vellumspark.llm.splitting import split_items
-from vellumspark.tables import current_rows, cut, load
+from vellumspark.tables import current_rows, cut, load, written
 
 ITEM = ["item_kind", "owner_id", "item_id"]
 
@@ -92,13 +92,13 @@ def p6_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of vectors with a cosine of 0.9 or more that are among each other's ten most similar."""
-    near = p7_neighbours(spark, sf_dir).where("cosine >= 0.9")
+    near = p7_neighbours(spark, sf_dir)
     pair = near.select(F.least("vec_id", "neighbour").alias("vec_id_a"), F.greatest("vec_id", "neighbour").alias("vec_id_b"))
     return pair.groupBy("vec_id_a", "vec_id_b").agg(F.count(F.lit(1)).alias("n")).where("n = 2").select("vec_id_a", "vec_id_b")
 
 
 def p7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The up to ten most similar vectors of every vector, from a cosine of 0.86 on."""
+    """The up to ten most similar vectors of every vector, from a cosine of 0.9 on."""
     return nearest(current_rows(load(spark, sf_dir, "embedded_blocks"), ["vec_id"], "embedded_at", ["embedding"]), "vec_id", "embedding")
 
 
@@ -123,10 +123,10 @@ def p9_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p10_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The estimated level of every current document and the measures that go with it."""
-    documents = cut(current_documents(spark, sf_dir, "text"))
-    labels = load(spark, sf_dir, "doc_labels").where("reader_level is not null and doc_id is not null").distinct()
-    judged = documents.join(labels, "doc_id").select("reader_level", F.col("text").alias("judged_text"))
-    return reading_levels(documents, ["doc_id"], "text", fit(documents, "text", judged, "reader_level", "judged_text"))
+    items = written(item_table(current_documents(spark, sf_dir, "text"), ["doc_id"], "text"))
+    labels = load(spark, sf_dir, "doc_labels").select("doc_id", "reader_level", "rater").distinct()
+    judged = items.join(labels, "doc_id").select("reader_level", "items", "tf")
+    return reading_levels(items, ["doc_id"], fit(items, judged, "reader_level"))
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,10 +21,10 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellumspark.llm.frequency import term_frequencies
 from vellumspark.llm.sentences import sentence_ends
 
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -36,12 +36,12 @@ LEAST_DOCUMENTS = 5
 MOST_ITEMS = 500_000
 #: Rounds of alternation.
 ROUNDS = 3
-#: Largest number of item counters that a task holds before it hands its sums on.
-FLUSH_ITEMS = 300_000
+#: Part of a text's words that function words of its language make up at least.
+LEAST_SHARE = 0.02
 
 # Frequent function words that tell a text's language.
 FUNCTION_WORDS = {
-    "en": frozenset("the of and to in a is that it for was on are as with be by at from this an which or have not we can if you then but has its between across will when into than these do one all there use".split()),
+    "en": frozenset("the of and to in a is that it for was on are as with be by at from this an which or have not we can if you then but has its between across through will when into than these do one all there use while although though whereas wherein whether however furthermore consequently notwithstanding considering concerning remain towards within without our their been were would should".split()),
     "de": frozenset("der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei um am sind noch wie einem über einen so zum war".split()),
     "fr": frozenset("le la les de des et en un une du que est pour qui dans par sur au avec ne pas plus ce se sont ou il elle nous aux cette ces leur mais comme".split()),
     "es": frozenset("el la los las de y en que un una se del por con para es al lo como más su sus pero o no este esta son entre cuando muy sin sobre ser".split()),
@@ -49,10 +49,9 @@ FUNCTION_WORDS = {
 
 
 def language(words: Sequence[str]) -> str | None:
-    """The language with the most function words among lower-case words, if they are at least 5 % of them."""
-    scores = {lang: sum(w in known for w in words) for lang, known in FUNCTION_WORDS.items()}
-    best = max(scores, key=lambda k: (scores[k], k == "en"))
-    return best if words and scores[best] >= 0.05 * len(words) else None
+    """The language with the most function words among lower-case words, if they are at least 2 % of them and no other has as many."""
+    scores = sorted(((sum(w in known for w in words), lang) for lang, known in FUNCTION_WORDS.items()), reverse=True)
+    return scores[0][1] if scores[0][0] > max(scores[1][0], LEAST_SHARE * len(words) - 1e-9, 0) else None
 
 
 def measures(text: str) -> tuple[list[str], list[int], int]:
@@ -86,24 +85,48 @@ def features(item: str, share: float) -> tuple[float, float, float]:
     return min(len(item), 20) / 5, -math.log10(max(share, 1e-9)) / 2, 0.0
 
 
-def _items_column(df: DataFrame, text: str) -> DataFrame:
-    @F.arrow_udf("array<string>")
-    def items(column: pa.Array) -> pa.Array:
-        rows = []
+ITEMS = "items array<string>, tf array<int>"
+MEASURES = "lang string, n_words bigint, words_per_sentence double, letters_per_word double"
+
+
+def item_table(corpus: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
+    """keys, items, tf, lang, n_words, words_per_sentence, letters_per_word: what all later passes need of the texts, so that these are read once. Null and empty texts have no items."""
+
+    @F.arrow_udf(f"struct<{ITEMS.replace(' ', ':').replace(',:', ',')},{MEASURES.replace(' ', ':').replace(',:', ',')}>")
+    def look(column: pa.Array) -> pa.Array:
+        items, tfs, langs, counts, lengths_, letters_ = [], [], [], [], [], []
         for t in column.to_pylist():
-            words, lengths, _ = measures(t) if t else ((), (), 0)
-            rows.append(list(items_of(words, lengths)))
-        return pa.array(rows, pa.list_(pa.string()))
+            words, lengths, letters = measures(t) if t else ([], [], 0)
+            own = items_of(words, lengths)
+            n = len(t.split()) if t else 0
+            items.append(list(own))
+            tfs.append(list(own.values()))
+            langs.append(language(words))
+            counts.append(n)
+            lengths_.append(n / len(lengths) if lengths else None)
+            letters_.append(letters / len(words) if words else None)
+        return pa.StructArray.from_arrays(
+            [pa.array(items, pa.list_(pa.string())), pa.array(tfs, pa.list_(pa.int32())), pa.array(langs, pa.string()), pa.array(counts, pa.int64()), pa.array(lengths_, pa.float64()), pa.array(letters_, pa.float64())], ["items", "tf", "lang", "n_words", "words_per_sentence", "letters_per_word"]
+        )
+
+    return corpus.select(*keys, look(F.col(text)).alias("_r")).select(*keys, "_r.*")
+
 
-    return df.select(items(F.col(text)).alias("terms"))
+class _Batch:
+    """The items of many documents as numbers: `names` the different items, `code` and `tf` one entry for each item of a document, `row` its document."""
 
+    def __init__(self, items: pa.ListArray, tf: pa.ListArray):
+        self.sizes = np.asarray(pc.fill_null(pc.list_value_length(items), 0), dtype=np.int64)
+        coded = items.flatten().dictionary_encode()
+        if isinstance(coded, pa.ChunkedArray):
+            coded = coded.combine_chunks()
+        self.names = coded.dictionary.to_pylist()
+        self.code = np.asarray(coded.indices, dtype=np.int64)
+        self.tf = np.asarray(tf.flatten(), dtype=float)
+        self.row = np.repeat(np.arange(len(self.sizes)), self.sizes)
 
-def _means(items: dict[str, int], shares: dict[str, float], rare: float) -> np.ndarray:
-    total, n = np.zeros(3), 0
-    for item, tf in items.items():
-        total += tf * np.array(features(item, shares.get(item, rare)))
-        n += tf
-    return total / max(n, 1)
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, values, len(self.sizes))
 
 
 class _Model:
@@ -120,32 +143,33 @@ class _Model:
         own = self.own.get(item)
         return self.suggested(item) if own is None else own
 
-    def level(self, items: dict[str, int]) -> float:
-        """The document's level: the maximum for fixed difficulties, by Newton steps."""
-        if not items:
-            return math.nan
-        b = np.array([self.difficulty(i) for i in items])
-        tf = np.array(list(items.values()), float)
-        t = float(np.average(b, weights=tf))
-        for _ in range(8):
-            h = np.tanh((t - b) / 2)
-            step = float((tf * h).sum() / max(1e-9, (tf * (1 - h * h)).sum() / 2))
-            t -= max(-1.0, min(1.0, step))
-            if abs(step) < 1e-6:
-                break
-        return t
-
-
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, str]]:
+    def levels(self, batch: _Batch) -> tuple[np.ndarray, np.ndarray]:
+        """The documents' levels, the maxima for fixed difficulties, by Newton steps; and the difficulty of each entry. NaN without items."""
+        b = np.array([self.difficulty(i) for i in batch.names])[batch.code] if len(batch.code) else np.zeros(0)
+        total = batch.sums(batch.tf)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            t = batch.sums(batch.tf * b) / total
+            for _ in range(8):
+                h = np.tanh((t[batch.row] - b) / 2)
+                step = batch.sums(batch.tf * h) / np.maximum(1e-9, batch.sums(batch.tf * (1 - h * h)) / 2)
+                t -= np.clip(step, -1.0, 1.0)
+        return np.where(total > 0, t, np.nan), b
+
+
+def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, _Batch]]:
     for batch in batches:
-        yield from zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+        if batch.num_rows:
+            yield batch, _Batch(batch.column(batch.schema.get_field_index("items")), batch.column(batch.schema.get_field_index("tf")))
 
 
 def _regression_rows(shares, rare):
+    """Mean features of judged documents, with the judgement."""
+
     def run(batches):
-        rows = [(*_means(items_of(*measures(t)[:2]), shares.value, rare), level) for level, t in _texts(batches) if t and level is not None]
-        cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
-        yield pa.record_batch([pa.array([float(x) for x in c], pa.float64()) for c in cols], names=["a", "b", "c", "y"])
+        for batch, b in _batches(batches):
+            forms = np.array([features(i, shares.value.get(i, rare)) for i in b.names]).reshape(-1, 3)
+            total = np.maximum(b.sums(b.tf), 1)
+            yield pa.record_batch([*[pa.array(b.sums(b.tf * forms[b.code, k]) / total) for k in range(3)], pa.array(batch.column(0).cast(pa.float64()))], names=["a", "b", "c", "y"])
 
     return run
 
@@ -154,46 +178,31 @@ def _item_sums(model):
     """For each item with a difficulty of its own: sums over its documents of tf * tanh((b - t) / 2) and of their slopes."""
 
     def run(batches):
-        m, sums = model.value, {}
-
-        def handed():
-            out = pa.record_batch([pa.array(list(sums), pa.string()), pa.array([v[0] for v in sums.values()], pa.float64()), pa.array([v[1] for v in sums.values()], pa.float64())], names=["item", "push", "slope"])
-            sums.clear()
-            return out
-
-        for _, text in _texts(batches):
-            if not text:
-                continue
-            items = items_of(*measures(text)[:2])
-            t = m.level(items)
-            for item, tf in items.items():
-                b = m.own.get(item)
-                if b is not None:
-                    h = math.tanh((b - t) / 2)
-                    v = sums.setdefault(item, [0.0, 0.0])
-                    v[0] += tf * h
-                    v[1] += tf * (1 - h * h) / 2
-            if len(sums) >= FLUSH_ITEMS:
-                yield handed()
-        if sums:
-            yield handed()
+        m = model.value
+        for _, b in _batches(batches):
+            t, difficulty = m.levels(b)
+            h = np.tanh((difficulty - t[b.row]) / 2)
+            push = np.bincount(b.code, b.tf * h, len(b.names))
+            slope = np.bincount(b.code, b.tf * (1 - h * h) / 2, len(b.names))
+            own = [i for i, name in enumerate(b.names) if name in m.own]
+            yield pa.record_batch([pa.array([b.names[i] for i in own], pa.string()), pa.array(push[own], pa.float64()), pa.array(slope[own], pa.float64())], names=["item", "push", "slope"])
 
     return run
 
 
-def fit(corpus: DataFrame, text: str, judged: DataFrame, level: str, judged_text: str, rounds: int = ROUNDS, least_documents: int = LEAST_DOCUMENTS, most_items: int = MOST_ITEMS) -> _Model:
+def fit(items: DataFrame, judged: DataFrame, level: str, rounds: int = ROUNDS, least_documents: int = LEAST_DOCUMENTS, most_items: int = MOST_ITEMS) -> _Model:
     """Shares of items over all documents, slopes of form on all judged rows, then `rounds` of alternation over all documents.
 
-    Null levels and null or empty texts are left out. Without enough judgements letters, rarity and sentence length weigh
-    the same. The items that reach the driver are bounded by `most_items`.
+    `items` is an item_table that is cheap to read again; `judged` has `level`, items and tf. Null levels are left out.
+    Without 20 judgements letters, rarity and sentence length weigh the same. The items that reach the driver and the
+    tasks are bounded by `most_items`.
     """
-    context = corpus.sparkSession.sparkContext
-    n = max(1, corpus.count())
-    frequent = term_frequencies(_items_column(corpus, text), "terms").where(F.col("records") >= least_documents)
-    kept = frequent.orderBy(F.col("records").desc(), "term").limit(most_items).select("term", "records").collect()
+    context = items.sparkSession.sparkContext
+    n = max(1, items.count())
+    frequent = items.select(F.explode("items").alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("records")).where(F.col("records") >= least_documents)
+    kept = frequent.orderBy(F.col("records").desc(), "item").limit(most_items).collect()
     shares, rare = {r[0]: r[1] / n for r in kept}, least_documents / 2 / n
-    shared = context.broadcast(shares)
-    rows = judged.select(F.col(level).cast("double"), judged_text).mapInArrow(_regression_rows(shared, rare), "a double, b double, c double, y double")
+    rows = judged.where(F.col(level).isNotNull() & (F.size("items") > 0)).select(F.col(level).cast("double").alias("_y"), "items", "tf").mapInArrow(_regression_rows(context.broadcast(shares), rare), "a double, b double, c double, y double")
     terms = ["a", "b", "c"]
     sums = rows.agg(F.count(F.lit(1)), *[F.sum(x) for x in [*terms, "y"]], *[F.sum(F.col(x) * F.col(z)) for x in terms for z in [*terms, "y"]]).first()
     slopes = np.ones(3)
@@ -209,7 +218,7 @@ def fit(corpus: DataFrame, text: str, judged: DataFrame, level: str, judged_text
     model = _Model(shares, rare, slopes, center, float(np.sqrt(np.average((forms - center) ** 2, weights=weights))) or 1.0)
     model.own = {i: model.suggested(i) for i in shares}
     for _ in range(rounds):
-        moved = corpus.select(F.lit(0), text).mapInArrow(_item_sums(context.broadcast(model)), "item string, push double, slope double").groupBy("item").agg(F.sum("push"), F.sum("slope")).collect()
+        moved = items.select("items", "tf").mapInArrow(_item_sums(context.broadcast(model)), "item string, push double, slope double").groupBy("item").agg(F.sum("push"), F.sum("slope")).collect()
         step = {}
         for item, push, slope in moved:
             h = math.tanh((model.own[item] - model.suggested(item)) / 2)
@@ -218,21 +227,16 @@ def fit(corpus: DataFrame, text: str, judged: DataFrame, level: str, judged_text
     return model
 
 
-def reading_levels(corpus: DataFrame, keys: Sequence[str], text: str, model: _Model) -> DataFrame:
-    """keys, level, lang, n_words, words_per_sentence, letters_per_word: one row for each row of `corpus`.
+def reading_levels(items: DataFrame, keys: Sequence[str], model: _Model) -> DataFrame:
+    """keys, level, lang, n_words, words_per_sentence, letters_per_word: one row for each row of `items`.
 
     level is null for null texts and texts without words; lang is told by function words, null where none tells.
     """
-    shared = corpus.sparkSession.sparkContext.broadcast(model)
+    shared = items.sparkSession.sparkContext.broadcast(model)
 
-    @F.arrow_udf("struct<level:double,lang:string,n_words:bigint,words_per_sentence:double,letters_per_word:double>")
-    def rate(column: pa.Array) -> pa.Array:
-        out = []
-        for t in column.to_pylist():
-            words, lengths, letters = measures(t) if t else ([], [], 0)
-            items = items_of(words, lengths)
-            n = len(t.split()) if t else 0
-            out.append({"level": round(shared.value.level(items), 6) if words else None, "lang": language(words), "n_words": n, "words_per_sentence": n / len(lengths) if lengths else None, "letters_per_word": letters / len(words) if words else None})
-        return pa.array(out, pa.struct([("level", pa.float64()), ("lang", pa.string()), ("n_words", pa.int64()), ("words_per_sentence", pa.float64()), ("letters_per_word", pa.float64())]))
+    @F.arrow_udf("double")
+    def level(names: pa.Array, tf: pa.Array) -> pa.Array:
+        found = np.round(shared.value.levels(_Batch(names, tf))[0], 6)
+        return pa.array(found, pa.float64(), mask=np.isnan(found))
 
-    return corpus.select(*keys, rate(F.col(text)).alias("_r")).select(*keys, "_r.*")
+    return items.select(*keys, level("items", "tf").alias("level"), "lang", "n_words", "words_per_sentence", "letters_per_word")
