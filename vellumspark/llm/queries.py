@@ -130,9 +130,13 @@ def p10_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """English documents that are easy (1) or hard (3): below or above the middle of the levels, and within the exact limits."""
+    """English documents that are easy (1) or hard (3): in the lower or the upper half of the scale of levels, and within the exact limits.
+
+    The halves meet in the middle between the levels that 0.5 % of all documents stay below and above.
+    """
     levels = cut(p10_levels(spark, sf_dir))
-    middle = F.broadcast(levels.agg(F.percentile_approx("level", 0.5, 10_000).alias("_middle")))
+    ends = levels.agg(F.percentile_approx("level", [0.005, 0.995], 10_000).alias("_e"))
+    middle = F.broadcast(ends.select(((F.get("_e", F.lit(0)) + F.get("_e", F.lit(1))) / 2).alias("_middle")))  # one row
     easy = (F.col("level") <= F.col("_middle")) & (F.col("words_per_sentence") <= 10) & (F.col("letters_per_word") <= 3.8)
     hard = (F.col("level") >= F.col("_middle")) & (F.col("words_per_sentence") >= 21) & (F.col("letters_per_word") >= 8.5)
     band = F.when(easy, F.lit(1)).when(hard, F.lit(3))
