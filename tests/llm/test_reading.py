@@ -54,4 +54,5 @@ def test_without_judgements_and_without_documents(spark):
 def test_measures():
     words, lengths, letters = measures("It is a test 3.5 long. Is it?")
     assert words == ["it", "is", "a", "test", "long", "is", "it"] and lengths == [6, 2] and letters == 17
+    assert language("यह the of and".split()) is None and language("it is the cat".split()) == "en"
     assert language([]) is None and language(["zzz"] * 30) is None

@@ -49,7 +49,9 @@ FUNCTION_WORDS = {
 
 
 def language(words: Sequence[str]) -> str | None:
-    """The language with the most function words among lower-case words, if they are at least 2 % of them and no other has as many."""
+    """The language with the most function words among lower-case words, if they are at least 2 % of them and no other has as many; None where more than a fifth of the words are in another script."""
+    if sum(w[0] > "\u024f" for w in words) > len(words) / 5:
+        return None
     scores = sorted(((sum(w in known for w in words), lang) for lang, known in FUNCTION_WORDS.items()), reverse=True)
     return scores[0][1] if scores[0][0] > max(scores[1][0], LEAST_SHARE * len(words) - 1e-9, 0) else None
 
