@@ -24,8 +24,8 @@ def _joined(spans: Column) -> Column:
 def split_inline_headings(blocks: DataFrame) -> DataFrame:
     """Blocks that begin with 2 to 10 bold words and go on in regular type become a heading (id + "_h") and a paragraph (id + "_p") of the same place. Adds `part` (0, or 1 for the paragraph)."""
     regular = F.array_position(F.transform("spans", lambda s, i: ~(is_bold(s) | (is_blank_span(s) & (i > 0)))), True) - 1
-    lead = F.slice("spans", 1, F.col("_cut"))
-    rest = F.slice("spans", F.col("_cut") + 1, F.greatest(F.size("spans") - F.col("_cut"), F.lit(0)))
+    lead = F.slice("spans", 1, F.greatest(F.col("_cut"), F.lit(0)))
+    rest = F.slice("spans", F.greatest(F.col("_cut"), F.lit(0)) + 1, F.greatest(F.size("spans") - F.col("_cut"), F.lit(0)))
     rows = blocks.withColumn("_cut", F.coalesce(regular, F.lit(-1)).cast("int"))
     cut = (F.col("_cut") > 0) & word_count(_joined(lead)).between(2, 10)
 

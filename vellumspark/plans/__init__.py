@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("hierarchies", "texts", "terms", "search")
+MODULES = ("hierarchies", "texts", "terms", "search", "layouts")
 
 
 def registry() -> tuple[dict, dict]:
