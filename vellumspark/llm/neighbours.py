@@ -170,10 +170,12 @@ def nearest(df: DataFrame, key: str, vector: str, k: int = 10, min_cosine: float
     pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     marks = lambda n, m: units.select(F.col("id").alias(n), F.col("marks").alias(m))
     differ = F.aggregate(F.zip_with("m", "n", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, v: s + v)
-    pairs = cut(pairs.join(marks("a", "m"), "a").join(marks("b", "n"), "b").where(differ <= hamming_limit(min_cosine, MARK_BITS)).select("a", "b"))
-    left = units.select(F.col("id").alias("a"), F.col("unit").alias("u"))
-    right = units.select(F.col("id").alias("b"), F.col("unit").alias("v"))
-    exact = pairs.join(left, "a").join(right, "b").select("a", "b", _cosine(F.col("u"), F.col("v")).alias("cosine")).where(F.col("cosine") >= min_cosine)
+    # not cut off here: in one job the vectors that went to the hashing by id are read again by id, without another shuffle
+    pairs = pairs.join(marks("a", "m"), "a").join(marks("b", "n"), "b").where(differ <= hamming_limit(min_cosine, MARK_BITS)).select("a", "b")
+    # renamed only after the join: so the shuffle is the very one that brought the vectors to the hashing, and is read again
+    whole = units.select("id", "unit")
+    first = pairs.join(whole, F.col("a") == F.col("id")).select("a", "b", F.col("unit").alias("u"))
+    exact = first.join(whole, F.col("b") == F.col("id")).select("a", "b", _cosine(F.col("u"), F.col("unit")).alias("cosine")).where(F.col("cosine") >= min_cosine)
     exact = cut(exact)
     both = exact.unionByName(exact.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine"))
     # classes: the members that a list can need, the class's own ones first
