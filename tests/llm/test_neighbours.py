@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vellumspark.llm.neighbours import Hashing, hamming_limit, nearest, perturbations
+from vellumspark.llm.neighbours import Hashing, hamming_limit, nearest, perturbations, search
 
 
 def test_recall_and_exactness_on_noise_with_planted_neighbours(spark):
@@ -50,3 +50,28 @@ def test_extra_columns_of_the_result_s_names(spark):
     for c in ("neighbour", "cosine", "rank", "class", "unit", "bucket", "a", "b"):
         df = df.withColumn(c, F.lit("x"))
     assert nearest(df, "id", "v").count() == 2
+
+
+@pytest.mark.parametrize("part_rows", [150, 100_000])
+def test_search_recall_on_noise(spark, part_rows):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(2500, 64)).astype(np.float32)
+    df = spark.createDataFrame([(i, [float(v) for v in r], "x") for i, r in enumerate(x)] + [(-50, None, "x")], "id bigint, v array<float>, cell string")
+    got = {}
+    for r in search(df, "id", "v", F.col("id") % 50 == 0, part_rows=part_rows).collect():
+        got.setdefault(r.id, {})[r.neighbour] = (r.cosine, r.rank)
+    unit = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1)[:, None]
+    s = unit @ unit.T
+    np.fill_diagonal(s, -2)
+    assert set(got) == set(range(0, 2500, 50))
+    hits = sum(int(n) in got[i] for i in got for n in np.argsort(-s[i])[:10])
+    assert hits >= 0.9 * 10 * len(got)
+    assert all(c == pytest.approx(s[i, n], abs=2e-6) for i, near in got.items() for n, (c, _) in near.items())
+    assert all(sorted(r for _, r in near.values()) == list(range(1, 11)) for near in got.values())
+
+
+def test_search_among_copies_and_nothing(spark):
+    df = spark.createDataFrame([(i, [1.0] + [0.5] * 63) for i in range(40)], "id bigint, v array<double>")
+    got = [r.neighbour for r in search(df, "id", "v", F.col("id") == 3, k=5, part_rows=7).orderBy("rank").collect()]
+    assert got == [0, 1, 2, 4, 5]
+    assert search(df.limit(0), "id", "v", F.col("id") == 3).count() == 0

@@ -11,7 +11,7 @@ from vellumspark.llm.encoding import encode_texts
 from vellumspark.llm.frequency import term_frequencies
 from vellumspark.llm.items import current_block_items, current_chunk_items, current_chunks, current_documents, current_items
 from vellumspark.llm.leakage import leaked_items
-from vellumspark.llm.neighbours import nearest
+from vellumspark.llm.neighbours import nearest, search
 from vellumspark.llm.ranking import fuse_scores
 from vellumspark.llm.reading import fit, item_table, reading_levels
 from vellumspark.llm.sentences import sentence_bounds
@@ -102,6 +102,11 @@ def p7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(current_rows(load(spark, sf_dir, "embedded_blocks"), ["vec_id"], "embedded_at", ["embedding"]), "vec_id", "embedding")
 
 
+def p7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten most similar vectors, however distant, of every vector whose number is divisible by 50."""
+    return search(current_rows(load(spark, sf_dir, "embedded_blocks"), ["vec_id"], "embedded_at", ["embedding"]), "vec_id", "embedding", F.col("vec_id") % 50 == 0)
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The token ids of every current document."""
     return encode_texts(current_documents(spark, sf_dir, "text"), ["doc_id"], "text")
@@ -145,7 +150,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_scores, p3_found, p3_ranking, p4_found, p4_sentences, p5_found, p5_pieces, p6_found, p6_frequencies, p7_found, p7_neighbours, p8_ids, p9_found, p9_leaks, p10_found, p10_levels)
+    for f in (p1_found, p1_scores, p3_found, p3_ranking, p4_found, p4_sentences, p5_found, p5_pieces, p6_found, p6_frequencies, p7_found, p7_neighbours, p7_topk, p8_ids, p9_found, p9_leaks, p10_found, p10_levels)
 }
 
 _WS = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
