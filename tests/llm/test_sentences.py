@@ -54,7 +54,7 @@ def test_scan_equals_walk(block):
     for s in symbols:
         walked.append(state)
         state = NEXT[s][state]
-    assert states_before(symbols, block).tolist() == walked
+    assert states_before(symbols, block, 0).tolist() == walked and states_before(symbols).tolist() == walked
     assert NEXT.shape == ENDS.shape
 
 

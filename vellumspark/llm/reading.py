@@ -50,10 +50,12 @@ FUNCTION_WORDS = {
 
 def language(words: Sequence[str]) -> str | None:
     """The language with the most function words among lower-case words, if they are at least 2 % of them and no other has as many; None where more than a fifth of the words are in another script."""
-    if sum(w[0] > "\u024f" for w in words) > len(words) / 5:
+    counts = words if isinstance(words, Counter) else Counter(words)
+    n = sum(counts.values())
+    if sum(c for w, c in counts.items() if w[0] > "\u024f") > n / 5:
         return None
-    scores = sorted(((sum(w in known for w in words), lang) for lang, known in FUNCTION_WORDS.items()), reverse=True)
-    return scores[0][1] if scores[0][0] > max(scores[1][0], LEAST_SHARE * len(words) - 1e-9, 0) else None
+    scores = sorted(((sum(counts[w] for w in known if w in counts), lang) for lang, known in FUNCTION_WORDS.items()), reverse=True)
+    return scores[0][1] if scores[0][0] > max(scores[1][0], LEAST_SHARE * n - 1e-9, 0) else None
 
 
 def measures(text: str) -> tuple[list[str], list[int], int]:
@@ -71,7 +73,7 @@ def sentence_item(words: int) -> str:
     return f"#{min(12, round(2 * math.log2(max(1, words))))}"
 
 
-def items_of(words: Sequence[str], lengths: Sequence[int]) -> Counter:
+def items_of(words: Sequence[str] | Counter, lengths: Sequence[int]) -> Counter:
     """Occurrences of items: every word once, every sentence with as much weight as it has words."""
     out = Counter(words)
     for n in lengths:
@@ -99,11 +101,12 @@ def item_table(corpus: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
         items, tfs, langs, counts, lengths_, letters_ = [], [], [], [], [], []
         for t in column.to_pylist():
             words, lengths, letters = measures(t) if t else ([], [], 0)
-            own = items_of(words, lengths)
+            occurring = Counter(words)
+            own = items_of(occurring, lengths)
             n = len(t.split()) if t else 0
             items.append(list(own))
             tfs.append(list(own.values()))
-            langs.append(language(words))
+            langs.append(language(occurring))
             counts.append(n)
             lengths_.append(n / len(lengths) if lengths else None)
             letters_.append(letters / len(words) if words else None)

@@ -100,13 +100,20 @@ ENDS = np.array(
     dtype=bool,
 )
 BLOCK = 128
+#: Sequences up to this length are walked; setting up the scan would take longer.
+WALKED = 1_000
+_NEXT = NEXT.tolist()
 
 
-def states_before(symbols: np.ndarray, block: int = BLOCK) -> np.ndarray:
+def states_before(symbols: np.ndarray, block: int = BLOCK, walked: int = WALKED) -> np.ndarray:
     """The state before each symbol, from OUT, by composing the symbols' functions in blocks and scanning the blocks."""
     n = len(symbols)
-    if not n:
-        return np.zeros(0, np.uint8)
+    if n <= walked:
+        states, state = [], OUT
+        for s in symbols.tolist():
+            states.append(state)
+            state = _NEXT[s][state]
+        return np.array(states, dtype=np.uint8)
     rows = -(-n // block)
     same = np.arange(4, dtype=np.uint8)
     maps = np.broadcast_to(same, (rows * block, 4)).copy()
