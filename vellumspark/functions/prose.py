@@ -80,10 +80,19 @@ def without_stopwords(tokens: Column, stopwords: Sequence[str] = SEARCH_STOPWORD
     return F.filter(tokens, lambda t: ~F.lower(t).isin(*stopwords))
 
 
+def word_tokens(text: Column) -> Column:
+    """Word tokens in lower case."""
+    return F.regexp_extract_all(F.lower(text), F.lit(rf"[{WORD}]+"), F.lit(0))
+
+
+def is_content(token: Column, stopwords: Sequence[str] = SEARCH_STOPWORDS) -> Column:
+    """Neither a single character nor a stop word."""
+    return (F.length(token) > 1) & ~token.isin(*stopwords)
+
+
 def lemmas(text: Column, stopwords: Sequence[str] = SEARCH_STOPWORDS) -> Column:
-    """Content tokens by rule: word tokens in lower case, without stop words and single characters; a token is its own lemma."""
-    tokens = F.regexp_extract_all(F.lower(text), F.lit(rf"[{WORD}]+"), F.lit(0))
-    return F.coalesce(F.filter(tokens, lambda t: (F.length(t) > 1) & ~t.isin(*stopwords)), F.array().cast("array<string>"))
+    """Content tokens by rule, in lower case; a token is its own lemma."""
+    return F.coalesce(F.filter(word_tokens(text), lambda t: is_content(t, stopwords)), F.array().cast("array<string>"))
 
 
 def is_keyword(term: Column, least: int = 3) -> Column:

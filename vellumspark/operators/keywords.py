@@ -11,10 +11,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellumspark.functions.prose import is_header_noise, is_keyword, lemmas
+from vellumspark.functions.prose import is_content, is_header_noise, is_keyword, word_tokens
 from vellumspark.functions.stopwords import SEARCH_STOPWORDS
 from vellumspark.functions.text import clean_text, strip_ws, word_count
-from vellumspark.operators.tfidf import inverse_document_frequency, term_frequency, tfidf, top_terms
+from vellumspark.operators.tfidf import inverse_document_frequency, tfidf, top_terms
+from vellumspark.tables import cut
 
 
 def section_paragraphs(blocks: DataFrame, sections: DataFrame, papers: DataFrame, least_words: int = 4) -> DataFrame:
@@ -52,13 +53,13 @@ def document_keywords(paragraphs: DataFrame, k: int = 10, stopwords: Sequence[st
 
 
 def _section_statistics(paragraphs: DataFrame, stopwords: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    counted = paragraphs.select("doc_id", "title", lemmas(F.col("text"), stopwords).alias("tokens"))
-    # counts of paragraphs are added to counts of sections: no section's text is ever put together
-    n = counted.select("doc_id", "title", F.explode("tokens").alias("term")).groupBy("doc_id", "title", "term").agg(F.count(F.lit(1)).alias("n"))
+    # stop words are dropped from rows, in generated code, rather than from arrays; counts of paragraphs are added to counts
+    # of sections, so that no section's text is ever put together; and they are made once: totals, shares and document
+    # frequencies all read them
+    tokens = paragraphs.select("doc_id", "title", F.explode(word_tokens(F.col("text"))).alias("term")).where(is_content(F.col("term"), stopwords))
+    n = cut(tokens.groupBy("doc_id", "title", "term").agg(F.count(F.lit(1)).alias("n")))
     total = n.groupBy("doc_id", "title").agg(F.sum("n").alias("_all"))
     tf = n.join(total, ["doc_id", "title"]).select("doc_id", "title", "term", "n", (F.col("n") / F.col("_all")).alias("tf"))
     documents = total.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     return tf, inverse_document_frequency(tf, documents, ["doc_id"])
 
-
-__all__ = ["document_keywords", "section_keywords", "section_paragraphs", "term_frequency"]

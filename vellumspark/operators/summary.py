@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from vellumspark.functions.prose import contains_any, has_cue, is_acknowledgement, lemmas, prose_sentences
 from vellumspark.functions.stopwords import EXCLUDED_SECTIONS, SEARCH_STOPWORDS, SUMMARY_SECTIONS
 from vellumspark.operators.keywords import document_keywords
+from vellumspark.tables import cut
 
 
 def salience(sentence: Column, weights: Column, stopwords: Sequence[str] = SEARCH_STOPWORDS) -> Column:
@@ -62,6 +63,7 @@ def select_sentences(scored: DataFrame, sentences: int = 5, per_section: int = 2
 
 def summarise(paragraphs: DataFrame, sentences: int = 5, target: Sequence[str] | None = None, per_section: int = 2, keywords: int = 25) -> DataFrame:
     """doc_id, summary: the chosen sentences in the order of reading. A document without any has no row."""
+    paragraphs = cut(paragraphs)  # cleaned once: keywords, sections and sentences all read them
     scored = score_sentences(candidate_sentences(paragraphs, target), document_keywords(paragraphs, keywords))
     chosen = select_sentences(scored, sentences, per_section)
     parts = F.array_sort(F.collect_list(F.struct("first", "ordinal", "n", "sentence")))
