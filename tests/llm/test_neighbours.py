@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vellumspark.llm.neighbours import Hashing, hamming_limit, nearest, perturbations, search
+from vellumspark.llm.neighbours import Hashing, hamming_limit, meeting, met_in, nearest, pairs_at, perturbations, search
 
 
 def test_recall_and_exactness_on_noise_with_planted_neighbours(spark):
@@ -75,3 +75,30 @@ def test_search_among_copies_and_nothing(spark):
     got = [r.neighbour for r in search(df, "id", "v", F.col("id") == 3, k=5, part_rows=7).orderBy("rank").collect()]
     assert got == [0, 1, 2, 4, 5]
     assert search(df.limit(0), "id", "v", F.col("id") == 3).count() == 0
+
+
+@pytest.mark.parametrize("n, functions", [(14_000, 9), (147_000, 13), (1_470_000, 16), (15_000_000, 19)])
+def test_recall_at_the_least_cosine_does_not_fall_with_size(n, functions):
+    h = Hashing.for_size(n)
+    x, y = pairs_at(0.9, 1_500, 64, 8)
+    found = np.zeros(len(x), bool)
+    for group in h.groups():
+        found |= met_in(group, x, y).any(1)
+    assert h.functions == functions and found.mean() >= 0.98
+    assert sum(g.tables for g in h.groups()) == h.tables and len({g.seed for g in h.groups()}) == len(h.groups())
+    assert all(g.tables <= 6 for g in h.groups())
+
+
+@pytest.mark.parametrize("n", [147_000, 1_470_000])
+def test_borderline_pairs_are_found_with_the_tables_of_large_sizes(spark, n):
+    x, y = pairs_at(0.902, 600, 64, 9)
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(np.concatenate([x, y]))]
+    got = {(r.id, r.neighbour) for r in nearest(spark.createDataFrame(rows, "id bigint, v array<double>"), "id", "v", hashing=lambda _: Hashing.for_size(n)).collect()}
+    assert sum((i, i + 600) in got and (i + 600, i) in got for i in range(600)) >= 0.975 * 600
+
+
+def test_tables_follow_the_least_cosine():
+    assert Hashing.for_size(10**6, min_cosine=0.95).tables < Hashing.for_size(10**6).tables
+    assert Hashing.for_size(10**6, min_cosine=1.0).tables == 1
+    with pytest.raises(ValueError):
+        meeting(Hashing(functions=32), 0.0)

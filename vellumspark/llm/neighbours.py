@@ -15,7 +15,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import lru_cache, reduce
 from itertools import combinations, product
 
 import numpy as np
@@ -25,16 +26,20 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellumspark.tables import cut, written
+from vellumspark.tables import cut, release, written
 
 #: Bits of the sketch that travels with buckets, and of the longer one that is looked up for the pairs that it leaves.
 SKETCH_BITS, MARK_BITS = 128, 256
 ROWS_AT_ONCE = 2_000
+#: Part of the pairs at the least cosine that the tables bring together, whatever the number of vectors.
+RECALL = 0.99
+#: Tables whose buckets are shuffled at once; further ones follow when the pairs of these are written, so disk doesn't grow with tables.
+TABLES_AT_ONCE = 6
 
 
 @dataclass(frozen=True)
 class Hashing:
-    """The tables. Functions grow with the logarithm of the number of vectors, so that a bucket stays small."""
+    """The tables. Functions grow with the logarithm of the number of vectors, so that a bucket stays small, and tables with functions, so that recall stays the same."""
 
     dimensions: int = 64
     tables: int = 6
@@ -44,9 +49,16 @@ class Hashing:
     seed: int = 7
 
     @staticmethod
-    def for_size(n: int, dimensions: int = 64) -> Hashing:
-        """Two vectors at random agree in a function with a chance of about 0.49: 12 functions for 100 000 vectors, one more for each 2.05 times as many."""
-        return Hashing(dimensions=dimensions, functions=max(8, min(32, round(12 + math.log(max(n, 1) / 100_000) / math.log(2.05)))))
+    def for_size(n: int, dimensions: int = 64, min_cosine: float = 0.9) -> Hashing:
+        """Two vectors at random agree in a function with a chance of about 0.49: 12 functions for 100 000 vectors, one more for each 2.05 times as many. As many tables as RECALL takes at `min_cosine`."""
+        h = Hashing(dimensions=dimensions, functions=max(8, min(32, round(12 + math.log(max(n, 1) / 100_000) / math.log(2.05)))))
+        one = meeting(h, min_cosine)
+        return replace(h, tables=1 if one >= RECALL else math.ceil(math.log(1 - RECALL) / math.log(1 - one)))
+
+    def groups(self) -> list[Hashing]:
+        """The same tables in groups of at most TABLES_AT_ONCE."""
+        count = math.ceil(self.tables / TABLES_AT_ONCE)
+        return [replace(self, tables=(self.tables + i) // count, seed=self.seed + 1_000 * i) for i in range(count)]
 
 
 def perturbations(functions: int, lowest: int = 8, largest: int = 4) -> list[tuple[int, ...]]:
@@ -91,6 +103,31 @@ class _Tables:
         return own.view(np.int64), probed.reshape(n, -1).view(np.int64), bits
 
 
+def met_in(h: Hashing, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """For each pair of unit rows and each table, whether one of the two looks into the bucket of the other."""
+    (ox, px, _), (oy, py, _) = (_Tables(h).buckets(v.astype(np.float32)) for v in (x, y))
+    px, py = (p.reshape(*ox.shape, h.probes) for p in (px, py))
+    return (ox == oy) | (px == oy[:, :, None]).any(2) | (py == ox[:, :, None]).any(2)
+
+
+def pairs_at(cosine: float, n: int, dimensions: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Unit rows in n pairs of one cosine, of any direction."""
+    x, side = np.random.default_rng(seed).normal(size=(2, n, dimensions))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    side -= (side * x).sum(1)[:, None] * x
+    side /= np.maximum(np.linalg.norm(side, axis=1), 1e-12)[:, None]
+    return x, cosine * x + math.sqrt(max(0.0, 1 - cosine**2)) * side
+
+
+@lru_cache
+def meeting(h: Hashing, cosine: float) -> float:
+    """Chance that a pair of this cosine meets in one table: p-stable collisions with probes have no closed form, so 2 000 pairs in 16 tables tell it."""
+    found = float(met_in(replace(h, tables=16, seed=h.seed + 1), *pairs_at(cosine, 2_000, h.dimensions, 1)).mean())
+    if not found:
+        raise ValueError(f"pairs of cosine {cosine} hardly ever meet in tables of {h.functions} functions: use search")
+    return found
+
+
 def _unit_rows(dimensions: int):
     """id, class (of equal unit vectors), unit, marks of the rows whose vector has `dimensions` finite numbers that are not all zero."""
 
@@ -149,6 +186,17 @@ def _units(df: DataFrame, key: str, vector: str, dimensions: int) -> DataFrame:
     return written(df.where(F.col(key).isNotNull()).select(key, F.col(vector).cast("array<float>")).mapInArrow(_unit_rows(dimensions), schema))
 
 
+def _met(reps: DataFrame, h: Hashing, kind: str, min_cosine: float) -> DataFrame:
+    """a, b (a < b): the pairs that meet in a table and whose sketches are near."""
+    # not kept: the hashes of a vector take more room than the vector, and less time to make again than to write and read
+    hashed = reps.mapInArrow(_hashed(h), f"id {kind}, own array<long>, probed array<long>, s0 long, s1 long")
+    lying = hashed.select(F.explode("own").alias("bucket"), F.col("id").alias("b"), F.col("s0").alias("t0"), F.col("s1").alias("t1"))
+    looking = hashed.select(F.explode(F.concat("own", "probed")).alias("bucket"), F.col("id").alias("a"), "s0", "s1")
+    apart = F.bit_count(F.col("s0").bitwiseXOR(F.col("t0"))) + F.bit_count(F.col("s1").bitwiseXOR(F.col("t1")))
+    met = looking.join(lying, "bucket").where((F.col("a") != F.col("b")) & (apart <= hamming_limit(min_cosine)))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def nearest(df: DataFrame, key: str, vector: str, k: int = 10, min_cosine: float = 0.9, dimensions: int = 64, hashing: Callable[[int], Hashing] | None = None) -> DataFrame:
     """key, neighbour, cosine, rank: for each usable vector the up to k others of greatest cosine among those of at least `min_cosine`.
 
@@ -156,29 +204,28 @@ def nearest(df: DataFrame, key: str, vector: str, k: int = 10, min_cosine: float
     neighbours and are none. At most one row for each key. Equal cosines are ordered by key. Vectors whose unit vectors
     agree in six decimals are copies, with a cosine of 1. Other columns are ignored; an empty table gives no rows.
 
-    A pair is found if either of the two looks into a bucket of the other: with the standard tables 95 in 100 pairs of
-    cosine 0.9, 99 at 0.93 and nearly all from 0.95 on (held against brute force in the tests).
+    A pair is found if either of the two looks into a bucket of the other: 99 in 100 pairs of cosine `min_cosine`, whatever
+    the number of vectors, and nearly all of greater cosine (held against brute force in the tests).
     """
     kind = dict(df.dtypes)[key]
     units = _units(df, key, vector, dimensions)
     place = F.row_number().over(Window.partitionBy("class").orderBy("id"))
     firsts = cut(units.select("id", "class").withColumn("n", place).where(F.col("n") <= k + 1))
     heads = firsts.where("n = 1").select("id", F.col("class").alias("_class"))
-    reps = units.join(heads.select("id"), "id", "left_semi").select("id", "unit")
-    h = (hashing or (lambda n: Hashing.for_size(n, dimensions)))(heads.count())
-    # not kept: the hashes of a vector take more room than the vector, and less time to make again than to write and read
-    hashed = reps.mapInArrow(_hashed(h), f"id {kind}, own array<long>, probed array<long>, s0 long, s1 long")
-    lying = hashed.select(F.explode("own").alias("bucket"), F.col("id").alias("b"), F.col("s0").alias("t0"), F.col("s1").alias("t1"))
-    looking = hashed.select(F.explode(F.concat("own", "probed")).alias("bucket"), F.col("id").alias("a"), "s0", "s1")
-    apart = F.bit_count(F.col("s0").bitwiseXOR(F.col("t0"))) + F.bit_count(F.col("s1").bitwiseXOR(F.col("t1")))
-    met = looking.join(lying, "bucket").where((F.col("a") != F.col("b")) & (apart <= hamming_limit(min_cosine)))
-    pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    # written: each group of tables reads them again
+    reps = written(units.join(heads.select("id"), "id", "left_semi").select("id", "unit"))
+    h = (hashing or (lambda n: Hashing.for_size(n, dimensions, min_cosine)))(heads.count())
+    found = []
+    for group in h.groups():
+        if found:
+            release(df.sparkSession)
+        found.append(written(_met(reps, group, kind, min_cosine)))
+    pairs = reduce(DataFrame.unionByName, found).distinct()
     marks = lambda n, m: units.select(F.col("id").alias(n), F.col("marks").alias(m))
     differ = F.aggregate(F.zip_with("m", "n", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, v: s + v)
-    # not cut off here: in one job the vectors that went to the hashing by id are read again by id, without another shuffle
     pairs = pairs.join(marks("a", "m"), "a").join(marks("b", "n"), "b").where(differ <= hamming_limit(min_cosine, MARK_BITS)).select("a", "b")
-    # renamed only after the join: so the shuffle is the very one that brought the vectors to the hashing, and is read again
-    whole = units.select("id", "unit")
+    # renamed only after the join: so both joins read the same shuffle of vectors
+    whole = reps.select("id", "unit")
     first = pairs.join(whole, F.col("a") == F.col("id")).select("a", "b", F.col("unit").alias("u"))
     exact = first.join(whole, F.col("b") == F.col("id")).select("a", "b", _cosine(F.col("u"), F.col("unit")).alias("cosine")).where(F.col("cosine") >= min_cosine)
     exact = cut(exact)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -54,6 +55,12 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(folder)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of plans that nothing refers to any more, which it does when the driver's memory is collected."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def _remove(spark: SparkSession, folder: str) -> None:
     try:
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
