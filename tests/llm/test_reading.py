@@ -1,7 +1,10 @@
+import datetime
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
+from vellumspark.llm.queries import p10_found
 from vellumspark.llm.reading import fit, item_table, language, measures, reading_levels
 
 EASY = "the cat sat on a mat and we saw it run to the red box at noon".split()
@@ -56,3 +59,15 @@ def test_measures():
     assert words == ["it", "is", "a", "test", "long", "is", "it"] and lengths == [6, 2] and letters == 17
     assert language("यह the of and".split()) is None and language("it is the cat".split()) == "en"
     assert language([]) is None and language(["zzz"] * 30) is None
+
+
+@pytest.mark.parametrize("others", [[], ["Das ist ein Haus und der Hund ist nicht in dem Garten. " * 9] * 90], ids=["alone", "with foreign documents"])
+@pytest.mark.parametrize("band, words, lengths", [(1, EASY, [4, 6, 8]), (3, [w for w in HARD if len(w) > 3], [24, 28, 32])], ids=["all easy", "all hard"])
+def test_bands_do_not_hang_on_the_other_documents(spark, tmp_path, band, words, lengths, others):
+    rng = random.Random(band)
+    sentence = lambda n: " ".join(["the", *(rng.choice(words) for _ in range(n - 1))]).capitalize() + "."
+    texts = [" ".join(sentence(lengths[d % 3]) for _ in range(15)) for d in range(60)]
+    now = datetime.datetime(2024, 1, 1)
+    spark.createDataFrame([(i, t, now) for i, t in enumerate([*texts, *others])], "doc_id bigint, text string, loaded_at timestamp").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id bigint, reader_level int, rater string").write.parquet(f"{tmp_path}/doc_labels.parquet")
+    assert {(r.doc_id, r.band) for r in p10_found(spark, str(tmp_path)).collect()} == {(i, band) for i in range(60)}
