@@ -205,6 +205,13 @@ def test_hierarchy_windows_against_a_stack(spark):
             stack.append((level, last))
 
 
+def test_headings_deeper_than_twelve_have_parents(spark):
+    rows = [("d", i, 0, level) for i, level in enumerate([*range(1, 41), None, 14, 13, 40])]
+    got = {r.ordinal: (r.section_id, r.parent_id) for r in layout.section_hierarchy(spark.createDataFrame(rows, "doc_id string, ordinal bigint, part int, level int")).collect()}
+    assert all(got[i] == (f"sec_{i + 1}", f"sec_{i}" if i else None) for i in range(40))
+    assert [got[i] for i in range(40, 44)] == [("sec_40", None), ("sec_41", "sec_13"), ("sec_42", "sec_12"), ("sec_43", "sec_42")]
+
+
 def test_summary(spark):
     par = lambda i, title, text: ("d", title, i, text)
     rows = [par(1, "Abstract", "We propose the sparse encoder for dense retrieval tasks. It is nice and warm today here. We thank the sparse encoder people."), par(2, "Method", "The sparse encoder reads tokens in order. Nothing else matters here at all."), par(3, "References", "The sparse encoder reads tokens in order.")]

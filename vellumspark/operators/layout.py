@@ -6,15 +6,17 @@ font, flags).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from vellumspark.functions.headings import formatting, heading_level, is_blank_span, is_bold, is_false_heading, is_numbered, looks_unnumbered
 from vellumspark.functions.text import strip_ws, word_count
 
 BLOCK = "struct<block_id:string,ordinal:bigint,part:int,text:string,page_number:int,bbox:array<double>,spans:array<struct<text:string,font_size:double,font:string,flags:int>>>"
-#: Depth of heading numbers that the hierarchy tells apart; deeper ones count as this deep.
-DEEPEST = 12
 
 
 def _joined(spans: Column) -> Column:
@@ -74,7 +76,7 @@ def classify(blocks: DataFrame) -> DataFrame:
     false = is_false_heading(F.col("text"), size, first)
     numbered = is_numbered(F.col("text")) & ~false & (bold | (size > 11.0))
     plain = looks_unnumbered(F.col("text"), size, bold) & ~false
-    rows = rows.withColumn("_level", F.when(numbered, F.least(heading_level(F.col("text")), F.lit(DEEPEST))).when(plain, F.lit(2)).cast("int"))
+    rows = rows.withColumn("_level", F.when(numbered, heading_level(F.col("text"))).when(plain, F.lit(2)).cast("int"))
     begins = (F.lower("text") == "abstract") | F.col("text").startswith("1 ") | F.col("text").startswith("1. ")
     # only first pages take part in the windows
     page = Window.partitionBy("doc_id").orderBy("ordinal", "part")
@@ -87,20 +89,36 @@ def classify(blocks: DataFrame) -> DataFrame:
     return front.select(*keep).unionByName(other.select(*keep))
 
 
+def _parents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds parent_id to rows in reading order, document by document: a stack of the open headings, which goes on from batch to batch."""
+    doc, opened = None, []
+    for batch in batches:
+        parents = []
+        for d, level, section in zip(*(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in ("doc_id", "level", "section_id")), strict=True):
+            if d != doc:
+                doc, opened = d, []
+            parent = None
+            if level is not None:
+                while opened and opened[-1][0] >= level:
+                    opened.pop()
+                parent = opened[-1][1] if opened else None
+                opened.append((level, section))
+            parents.append(parent)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(parents, pa.string())], names=[*batch.schema.names, "parent_id"])
+
+
 def section_hierarchy(headings: DataFrame) -> DataFrame:
     """Adds section_id and parent_id to blocks in order with a level (null for paragraphs).
 
-    The parent of a heading is the last heading before it with a smaller level, one running value for each level; a
-    paragraph has the section of the last heading before it. What a stack would give, without one.
+    The parent of a heading is the last heading before it with a smaller level, however deep; a paragraph has the section
+    of the last heading before it. A document's rows stream through one task, which holds the open headings alone.
     """
     reading = Window.partitionBy("doc_id").orderBy("ordinal", "part")
-    so_far, earlier = reading.rowsBetween(Window.unboundedPreceding, 0), reading.rowsBetween(Window.unboundedPreceding, -1)
-    rows = headings.withColumn("_n", F.count("level").over(so_far)).withColumn("section_id", F.when(F.col("_n") > 0, F.concat(F.lit("sec_"), F.col("_n"))))
-    parent = F.lit(None).cast("string")
-    for level in range(2, DEEPEST + 1):
-        above = F.last(F.when(F.col("level") < level, F.col("section_id")), ignorenulls=True).over(earlier)
-        parent = F.when(F.col("level") == level, above).otherwise(parent)
-    return rows.withColumn("parent_id", parent).drop("_n")
+    so_far = reading.rowsBetween(Window.unboundedPreceding, 0)
+    # the window and the sort need what the shuffle before them gives
+    rows = headings.repartition("doc_id").withColumn("_n", F.count("level").over(so_far)).withColumn("section_id", F.when(F.col("_n") > 0, F.concat(F.lit("sec_"), F.col("_n")))).drop("_n")
+    rows = rows.drop("parent_id").sortWithinPartitions("doc_id", "ordinal", "part")
+    return rows.mapInArrow(_parents, StructType([*rows.schema, StructField("parent_id", StringType())]))
 
 
 def detect_sections(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
