@@ -1,5 +1,6 @@
 """Operators of chunking, search, layout and storage on small fixtures."""
 
+import datetime
 import itertools
 import math
 import random
@@ -14,6 +15,7 @@ from vellumspark.operators.enrichment import read_atom_entry, read_work
 from vellumspark.operators.filters import SearchFilter, compile_where
 from vellumspark.operators.summary import summarise
 from vellumspark.operators.tfidf import inverse_document_frequency, term_frequency, tfidf
+from vellumspark.plans import layouts
 from vellumspark.sources.documents import read_files
 from vellumspark.streaming.ingest import upsert_stream
 
@@ -187,6 +189,15 @@ def test_layout_pipeline(spark):
     assert kinds["v"] == ("paragraph", "sec_1", "An Author") and kinds["i_p"] == ("paragraph", "sec_4", "It is so") and kinds["x"][1] == "sec_2" and "e" not in kinds
 
 
+def test_paragraph_of_an_inline_heading_is_whole(spark, tmp_path):
+    text = " ".join(f"w{i}" for i in range(100_020))
+    now = datetime.datetime(2024, 1, 1)
+    row = ("d", "d_block_2", "paragraph", text, 1, "s", [0.0, 0.0, 9.0, 9.0], now)  # an ordinal divisible by 7 is laid out with an inline heading
+    spark.createDataFrame([row], "doc_id string, block_id string, block_type string, text string, page_number int, section_id string, bbox array<double>, extracted_at timestamp").write.parquet(f"{tmp_path}/content_blocks.parquet")
+    got = {r.block_id: r.text for r in layouts.q_inline_heading_split(spark, str(tmp_path)).collect()}
+    assert got == {"d_block_2_h": "w0 w1 w2", "d_block_2_p": text[len("w0 w1 w2 ") :]}
+
+
 def test_hierarchy_windows_against_a_stack(spark):
     rng = random.Random(3)
     rows = [(f"d{d}", i, 0, rng.choice([None, 1, 2, 3, 4, 6])) for d in range(12) for i in range(40)]

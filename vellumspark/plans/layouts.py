@@ -22,7 +22,7 @@ def raw_blocks(spark: SparkSession, d: str) -> DataFrame:
     rows = blocks(spark, d).where("text is not null and page_number is not null and bbox is not null and size(bbox) = 4")
     words = F.split("text", " ")
     span = lambda text, size, font, flags: F.struct(text.alias("text"), F.lit(size).alias("font_size"), F.lit(font).alias("font"), F.lit(flags).alias("flags"))
-    lead, rest = F.array_join(F.slice(words, 1, 3), " "), F.array_join(F.slice(words, 4, 100_000), " ")
+    lead, rest = F.array_join(F.slice(words, 1, 3), " "), F.array_join(F.slice(words, 4, F.size(words)), " ")
     inline = (F.col("ordinal") % 7 == 0) & (F.size(words) > 5)
     spans = F.when(F.col("block_type") == "heading", F.array(span(F.col("text"), 12.0, "Serif-Bold", 16))).when(inline, F.array(span(lead, 10.0, "Serif-Medi", 0), span(rest, 10.0, "Serif", 4))).otherwise(F.array(span(F.col("text"), 10.0, "Serif", 4)))
     return rows.select("doc_id", "block_id", "ordinal", "text", "page_number", "bbox", spans.cast(_SPANS).alias("spans"))
