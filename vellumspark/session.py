@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -20,7 +23,18 @@ def local_session(cpus: int | None = None, memory: str = "12g", shuffle_partitio
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.host", "127.0.0.1")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="vellum-checkpoint-"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends the package to the executors of a running session, for clusters on which it is not installed."""
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="vellum-")) / "vellumspark.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for path in root.rglob("*.py"):
+            out.write(path, path.relative_to(root.parent))
+    spark.sparkContext.addPyFile(str(archive))

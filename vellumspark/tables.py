@@ -8,7 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -33,10 +33,12 @@ def current_rows(df: DataFrame, keys: Sequence[str], ts: str, payload: Sequence[
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder for checkpoints: spark.checkpoint.dir where the cluster names one, else (tests, one machine) a temporary one."""
+    """The folder for checkpoints: spark.checkpoint.dir. Where it is unset, a temporary one on one machine, an error on a cluster, whose executors share none."""
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if context.getCheckpointDir() is None:
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="vellum-checkpoint-"))
     return named or context.getCheckpointDir()
 
@@ -49,10 +51,17 @@ def cut(df: DataFrame) -> DataFrame:
 
 def written(df: DataFrame) -> DataFrame:
     """`df` written as a compressed table below the checkpoint folder and read again: for what is read more than once and is much smaller in columns. Removed when Python ends."""
+    return measured(df)[0]
+
+
+def measured(df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict]:
+    """`df` written as `written` does, with aggregates over its rows that the same job takes."""
     folder = f"{ensure_checkpoint_dir(df.sparkSession)}/vellum-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(folder)
+    seen = Observation()
+    rows = df.observe(seen, *[c.alias(n) for n, c in metrics.items()]) if metrics else df
+    rows.write.option("compression", "zstd").parquet(folder)
     atexit.register(_remove, df.sparkSession, folder)
-    return df.sparkSession.read.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder), seen.get if metrics else {}
 
 
 def release(spark: SparkSession) -> None:
