@@ -17,14 +17,38 @@ def test_recall_and_exactness_on_noise_with_planted_neighbours(spark):
     cos = rng.uniform(0.9, 1.0, 400)[:, None]
     x = np.concatenate([x, (cos * near + np.sqrt(1 - cos**2) * side) * rng.uniform(0.1, 40, (400, 1))]).astype(np.float32)
     df = spark.createDataFrame([(i, [float(v) for v in r], 1) for i, r in enumerate(x)], "id bigint, v array<float>, rank int").repartition(6)
-    got = {(r.id, r.neighbour): r.cosine for r in nearest(df, "id", "v").collect()}
+    got = {(r.id, r.neighbour): r.cosine for r in nearest(df, "id", "v", min_cosine=0.9).collect()}
     unit = x / np.linalg.norm(x.astype(np.float64), axis=1)[:, None]
     s = unit @ unit.T
     np.fill_diagonal(s, -1)
     want = {(int(i), int(j)) for i, j in zip(*np.where(s >= 0.9), strict=True)}
-    assert len(want & got.keys()) >= 0.97 * len(want)
+    assert len(want - got.keys()) <= 1
     for (i, j), c in got.items():
         assert c == pytest.approx(s[i, j], abs=2e-6) and (j, i) in got
+    # without a least cosine: ten neighbours of every vector, none nearer is missed
+    full = {}
+    for r in nearest(df, "id", "v", block_rows=900).collect():
+        full.setdefault(r.id, {})[r.neighbour] = (r.cosine, r.rank)
+    assert set(full) == set(range(len(x)))
+    for i, near in full.items():
+        assert sorted(r for _, r in near.values()) == list(range(1, 11))
+        best = np.sort(s[i])[::-1][:10]
+        assert np.allclose(sorted((c for c, _ in near.values()), reverse=True), best, atol=2e-6)
+
+
+def test_a_hot_bucket_of_near_but_unequal_vectors(spark):
+    rng = np.random.default_rng(4)
+    x = np.concatenate([1 + 0.002 * rng.normal(size=(400, 64)), rng.normal(size=(200, 64))])
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id bigint, v array<double>")
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    s = np.round(unit @ unit.T, 6)
+    np.fill_diagonal(s, -1)
+    got = {}
+    for r in nearest(df, "id", "v", k=5, min_cosine=0.9, hot_rows=50).collect():
+        got.setdefault(r.id, []).append(r.cosine)
+    assert set(got) == set(range(400))
+    for i, near in got.items():
+        assert np.allclose(sorted(near, reverse=True), np.sort(s[i])[::-1][:5], atol=2e-6)
 
 
 def test_copies_ties_and_unusable_vectors(spark):
@@ -35,13 +59,13 @@ def test_copies_ties_and_unusable_vectors(spark):
     for r in nearest(df, "id", "v", k=10).orderBy("id", "rank").collect():
         got.setdefault(r.id, []).append(r.neighbour)
     assert got[0] == list(range(1, 11)) and got[5] == [0, 1, 2, 3, 4, 6, 7, 8, 9, 10] and got[100] == list(range(10))
-    assert set(got) == {*range(30), 100}
+    assert set(got) == {*range(30), 57, 100} and got[57] == list(range(10))
     assert nearest(df.limit(0), "id", "v").count() == 0
 
 
 def test_parts():
     assert perturbations(2, lowest=3, largest=2) == [(0,), (1,), (2,), (0, 1), (0, 2), (1, 2)]
-    assert hamming_limit(1.0) == 0 and 34 <= hamming_limit(0.9) < 40
+    assert hamming_limit(1.0) == 0 and 42 <= hamming_limit(0.9) < 44
     assert Hashing.for_size(100_000).functions == 12 and Hashing.for_size(10**9).functions > 17
 
 
@@ -84,7 +108,7 @@ def test_recall_at_the_least_cosine_does_not_fall_with_size(n, functions):
     found = np.zeros(len(x), bool)
     for group in h.groups():
         found |= met_in(group, x, y).any(1)
-    assert h.functions == functions and found.mean() >= 0.98
+    assert h.functions == functions and found.mean() >= 0.998
     assert sum(g.tables for g in h.groups()) == h.tables and len({g.seed for g in h.groups()}) == len(h.groups())
     assert all(g.tables <= 6 for g in h.groups())
 
@@ -93,8 +117,8 @@ def test_recall_at_the_least_cosine_does_not_fall_with_size(n, functions):
 def test_borderline_pairs_are_found_with_the_tables_of_large_sizes(spark, n):
     x, y = pairs_at(0.902, 600, 64, 9)
     rows = [(i, [float(v) for v in r]) for i, r in enumerate(np.concatenate([x, y]))]
-    got = {(r.id, r.neighbour) for r in nearest(spark.createDataFrame(rows, "id bigint, v array<double>"), "id", "v", hashing=lambda _: Hashing.for_size(n)).collect()}
-    assert sum((i, i + 600) in got and (i + 600, i) in got for i in range(600)) >= 0.975 * 600
+    got = {(r.id, r.neighbour) for r in nearest(spark.createDataFrame(rows, "id bigint, v array<double>"), "id", "v", min_cosine=0.9, hashing=lambda _: Hashing.for_size(n)).collect()}
+    assert sum((i, i + 600) in got and (i + 600, i) in got for i in range(600)) >= 598
 
 
 def test_tables_follow_the_least_cosine():

@@ -23,18 +23,25 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from vellumspark.tables import cut, release, written
+from vellumspark.tables import cut, measured, release, written
 
 #: Bits of the sketch that travels with buckets, and of the longer one that is looked up for the pairs that it leaves.
 SKETCH_BITS, MARK_BITS = 128, 256
 ROWS_AT_ONCE = 2_000
 #: Part of the pairs at the least cosine that the tables bring together, whatever the number of vectors.
-RECALL = 0.99
+RECALL = 0.9995
 #: Tables whose buckets are shuffled at once; further ones follow when the pairs of these are written, so disk doesn't grow with tables.
 TABLES_AT_ONCE = 6
+#: Rows of a bucket beyond which its pairs are not written: parts of it are compared in blocks, and each part gives a vector's k nearest alone.
+HOT_ROWS = 2_000
+#: Rows of a block of a scan.
+BLOCK_ROWS = 50_000
+#: Cosine from which the tables look for neighbours where none is asked for.
+NEAR = 0.9
+ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
 
 
 @dataclass(frozen=True)
@@ -172,9 +179,9 @@ def _hashed(h: Hashing):
 
 
 def hamming_limit(min_cosine: float, bits: int = SKETCH_BITS) -> int:
-    """Sketches of vectors with this cosine differ in no more places, but for a chance of about one in 30 000."""
+    """Sketches of vectors with this cosine differ in no more places, but for a chance of less than one in a million: six deviations."""
     p = math.acos(max(-1.0, min(1.0, min_cosine))) / math.pi
-    return math.ceil(bits * p + 4 * math.sqrt(bits * p * (1 - p)))
+    return math.ceil(bits * p + 6 * math.sqrt(bits * p * (1 - p)))
 
 
 def _cosine(a: Column, b: Column) -> Column:
@@ -186,57 +193,96 @@ def _units(df: DataFrame, key: str, vector: str, dimensions: int) -> DataFrame:
     return written(df.where(F.col(key).isNotNull()).select(key, F.col(vector).cast("array<float>")).mapInArrow(_unit_rows(dimensions), schema))
 
 
-def _met(reps: DataFrame, h: Hashing, kind: str, min_cosine: float) -> DataFrame:
-    """a, b (a < b): the pairs that meet in a table and whose sketches are near."""
+def _met(reps: DataFrame, h: Hashing, kind: str, min_cosine: float, k: int, hot_rows: int) -> DataFrame:
+    """a, b: the pairs that meet in a table and whose sketches are near; of a bucket of more than `hot_rows` vectors only the k nearest of each in each part."""
     # not kept: the hashes of a vector take more room than the vector, and less time to make again than to write and read
     hashed = reps.mapInArrow(_hashed(h), f"id {kind}, own array<long>, probed array<long>, s0 long, s1 long")
     lying = hashed.select(F.explode("own").alias("bucket"), F.col("id").alias("b"), F.col("s0").alias("t0"), F.col("s1").alias("t1"))
+    lying = lying.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("bucket")))  # in the join's own order: no further shuffle or sort
     looking = hashed.select(F.explode(F.concat("own", "probed")).alias("bucket"), F.col("id").alias("a"), "s0", "s1")
     apart = F.bit_count(F.col("s0").bitwiseXOR(F.col("t0"))) + F.bit_count(F.col("s1").bitwiseXOR(F.col("t1")))
-    met = looking.join(lying, "bucket").where((F.col("a") != F.col("b")) & (apart <= hamming_limit(min_cosine)))
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    seen = Observation()
+    watched = lying.observe(seen, F.count_if(F.col("n") > hot_rows).alias("hot"))
+    met = looking.join(watched.where(F.col("n") <= hot_rows), "bucket").where((F.col("a") != F.col("b")) & (apart <= hamming_limit(min_cosine)))
+    met = written(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    if not seen.get["hot"]:
+        return met
+    hot = lying.where(F.col("n") > hot_rows).select("bucket", "b", F.ceil(F.col("n") / hot_rows).alias("parts"))
+    place = lambda c: F.pmod(F.xxhash64(c), "parts")
+    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))
+    rows = hot.join(reps, F.col("b") == F.col("id")).select("id", "unit", "bucket", place("id").alias("part"), every.alias("side"))
+    asking = looking.select("bucket", "a").join(hot.select("bucket", "parts").distinct(), "bucket").join(reps, F.col("a") == F.col("id")).select("id", "unit", "bucket", place("id").alias("side"), every.alias("part"))
+    group = ["bucket", "part", "side"]
+    near = rows.groupBy(*group).cogroup(asking.groupBy(*group)).applyInArrow(_best_in_part(k, h.dimensions, ARROW[kind]), f"id {kind}, neighbour {kind}, cosine double")
+    near = near.where(F.col("cosine") >= min_cosine).select(F.least("id", "neighbour").alias("a"), F.greatest("id", "neighbour").alias("b"))
+    return met.unionByName(written(near.distinct()))
+
+
+def _near(reps: DataFrame, marks: DataFrame, h: Hashing, kind: str, k: int, min_cosine: float, hot_rows: int) -> DataFrame:
+    """a, b, cosine: the pairs of `min_cosine` or more that the tables bring together."""
+    found = []
+    for group in h.groups():
+        if found:
+            release(reps.sparkSession)
+        found.append(_met(reps, group, kind, min_cosine, k, hot_rows))
+    pairs = reduce(DataFrame.unionByName, found).distinct()
+    own = lambda n, m: marks.select(F.col("id").alias(n), F.col("marks").alias(m))
+    differ = F.aggregate(F.zip_with("m", "n", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, v: s + v)
+    pairs = pairs.join(own("a", "m"), "a").join(own("b", "n"), "b").where(differ <= hamming_limit(min_cosine, MARK_BITS)).select("a", "b")
+    # renamed only after the join: so both joins read the same shuffle of vectors
+    first = pairs.join(reps, F.col("a") == F.col("id")).select("a", "b", F.col("unit").alias("u"))
+    exact = first.join(reps, F.col("b") == F.col("id")).select("a", "b", _cosine(F.col("u"), F.col("unit")).alias("cosine")).where(F.col("cosine") >= min_cosine)
+    exact = cut(exact)
+    return exact.unionByName(exact.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine"))
+
 
+def _scanned(reps: DataFrame, n: int, asked: DataFrame, asking: int, kind: str, k: int, dimensions: int, block_rows: int) -> DataFrame:
+    """a, b, cosine: the k nearest of each asked vector among all, by products of blocks; no pair but a block's k best leaves its task."""
+    across, down = max(1, math.ceil(n / block_rows)), max(1, math.ceil(asking / block_rows))
+    place = lambda parts: F.pmod(F.xxhash64("id"), F.lit(parts))
+    rows = reps.select("id", "unit", place(across).alias("x"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(down - 1).cast("bigint"))).alias("y"))
+    queries = asked.select("id", "unit", place(down).alias("y"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(across - 1).cast("bigint"))).alias("x"))
+    best = rows.groupBy("x", "y").cogroup(queries.groupBy("x", "y")).applyInArrow(_best_in_part(k, dimensions, ARROW[kind]), f"id {kind}, neighbour {kind}, cosine double")
+    return best.select(F.col("id").alias("a"), F.col("neighbour").alias("b"), "cosine")
 
-def nearest(df: DataFrame, key: str, vector: str, k: int = 10, min_cosine: float = 0.9, dimensions: int = 64, hashing: Callable[[int], Hashing] | None = None) -> DataFrame:
-    """key, neighbour, cosine, rank: for each usable vector the up to k others of greatest cosine among those of at least `min_cosine`.
+
+def nearest(df: DataFrame, key: str, vector: str, k: int = 10, min_cosine: float | None = None, dimensions: int = 64, hashing: Callable[[int], Hashing] | None = None, hot_rows: int = HOT_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """key, neighbour, cosine, rank: for each usable vector the k others of greatest cosine, or those among them of at least `min_cosine`.
 
     Usable is a vector of `dimensions` finite numbers that are not all zero; rows with other vectors or a null key have no
     neighbours and are none. At most one row for each key. Equal cosines are ordered by key. Vectors whose unit vectors
     agree in six decimals are copies, with a cosine of 1. Other columns are ignored; an empty table gives no rows.
 
-    A pair is found if either of the two looks into a bucket of the other: 99 in 100 pairs of cosine `min_cosine`, whatever
-    the number of vectors, and nearly all of greater cosine (held against brute force in the tests).
+    The tables find the pairs of a cosine of at least `min_cosine` (NEAR if it is None): a pair is found if either of the
+    two looks into a bucket of the other, which 9,995 in 10,000 pairs of that very cosine do whatever the number of
+    vectors, and nearly all of greater cosine (held against brute force in the tests). Without `min_cosine` a vector that
+    has fewer than k such neighbours gets its k from products with all others in blocks, exactly: its neighbours are
+    hardly nearer than the rest, and tables that find them visit most of the rows. That part grows with the number of
+    such vectors times all.
     """
     kind = dict(df.dtypes)[key]
+    least = NEAR if min_cosine is None else min_cosine
     units = _units(df, key, vector, dimensions)
     place = F.row_number().over(Window.partitionBy("class").orderBy("id"))
     firsts = cut(units.select("id", "class").withColumn("n", place).where(F.col("n") <= k + 1))
     heads = firsts.where("n = 1").select("id", F.col("class").alias("_class"))
     # written: each group of tables reads them again
-    reps = written(units.join(heads.select("id"), "id", "left_semi").select("id", "unit"))
-    h = (hashing or (lambda n: Hashing.for_size(n, dimensions, min_cosine)))(heads.count())
-    found = []
-    for group in h.groups():
-        if found:
-            release(df.sparkSession)
-        found.append(written(_met(reps, group, kind, min_cosine)))
-    pairs = reduce(DataFrame.unionByName, found).distinct()
-    marks = lambda n, m: units.select(F.col("id").alias(n), F.col("marks").alias(m))
-    differ = F.aggregate(F.zip_with("m", "n", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, v: s + v)
-    pairs = pairs.join(marks("a", "m"), "a").join(marks("b", "n"), "b").where(differ <= hamming_limit(min_cosine, MARK_BITS)).select("a", "b")
-    # renamed only after the join: so both joins read the same shuffle of vectors
-    whole = reps.select("id", "unit")
-    first = pairs.join(whole, F.col("a") == F.col("id")).select("a", "b", F.col("unit").alias("u"))
-    exact = first.join(whole, F.col("b") == F.col("id")).select("a", "b", _cosine(F.col("u"), F.col("unit")).alias("cosine")).where(F.col("cosine") >= min_cosine)
-    exact = cut(exact)
-    both = exact.unionByName(exact.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine"))
+    reps, seen = measured(units.join(heads.select("id"), "id", "left_semi").select("id", "unit"), n=F.count(F.lit(1)))
+    h = (hashing or (lambda n: Hashing.for_size(n, dimensions, least)))(seen["n"])
+    both = _near(reps, units, h, kind, k, least, hot_rows)
     # classes: the members that a list can need, the class's own ones first
     members = firsts.join(heads.select(F.col("id").alias("head"), F.col("_class").alias("class")), "class").select("head", "id")
+    if min_cosine is None:
+        own_size = members.groupBy(F.col("head").alias("a")).agg((F.count(F.lit(1)) - 1).alias("n"))
+        close = both.select("a", F.lit(1).alias("n")).unionByName(own_size).groupBy("a").agg(F.sum("n").alias("n")).where(F.col("n") >= k)
+        short, asking = measured(reps.join(close.select(F.col("a").alias("id")), "id", "left_anti"), n=F.count(F.lit(1)))
+        far = _scanned(reps, seen["n"], short, asking["n"], kind, k, dimensions, block_rows)
+        both = both.join(close.select("a"), "a", "left_semi").unionByName(far)
     own = members.select(F.col("head").alias("a"), F.col("id").alias("neighbour"), F.lit(1.0).alias("cosine"))
     others = both.join(members.select(F.col("head").alias("b"), F.col("id").alias("neighbour")), "b").select("a", "neighbour", "cosine")
     order = [F.col("cosine").desc(), F.col("neighbour")]
     lists = own.unionByName(others).withColumn("n", F.row_number().over(Window.partitionBy("a").orderBy(*order))).where(F.col("n") <= k + 1)
-    # most lists hold their own vector alone
+    # most lists of near vectors hold their own vector alone
     lists = lists.withColumn("_size", F.count(F.lit(1)).over(Window.partitionBy("a"))).where("_size > 1").drop("n", "_size")
     everyone = units.select("id", "class").join(heads.select(F.col("id").alias("a"), F.col("_class").alias("class")), "class").select("id", "a")
     out = everyone.join(lists, "a").where(F.col("id") != F.col("neighbour"))
@@ -289,7 +335,7 @@ def _celled(c: Cells, visit: bool):
 
 
 def _best_in_part(k: int, dimensions: int, ids: pa.DataType):
-    """The k nearest rows of one part of a cell for each query that visits it, by blocks of products."""
+    """The k nearest rows of one part for each query that comes to it, by blocks of products."""
 
     def run(rows: pa.Table, queries: pa.Table) -> pa.Table:
         asked, found, cosines = [], [], []
@@ -297,15 +343,20 @@ def _best_in_part(k: int, dimensions: int, ids: pa.DataType):
             matrix = lambda t: t.column("unit").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dimensions)
             x, names = matrix(rows), np.array(rows.column("id").to_pylist(), dtype=object)
             q, who = matrix(queries), queries.column("id").to_pylist()
-            for start in range(0, len(q), 128):
-                near = q[start : start + 128] @ x.T
-                take = min(k + 1, near.shape[1])
-                least = np.partition(near, near.shape[1] - take, axis=1)[:, near.shape[1] - take]
-                for i, row in enumerate(near):
-                    at = np.flatnonzero(row >= least[i] - 1e-6)  # all that tie with the last one, and what rounding may have hidden
-                    exact = np.round(x[at].astype(np.float64) @ q[start + i].astype(np.float64), 6)
+            take = min(k + 1, len(x))
+            # a bound for the last place of each query, from the first rows: hardly any other row gets past it
+            some = max(take, min(len(x), len(x) // 8))
+            for start in range(0, len(q), 256):
+                near = q[start : start + 256] @ x.T
+                least = np.partition(near[:, :some], some - take, axis=1)[:, some - take]
+                at_row, at = np.nonzero(near >= least[:, None] - 1e-6)  # all that tie with the last one, and what rounding may have hidden
+                for i, part in enumerate(np.split(at, np.searchsorted(at_row, np.arange(1, len(near))))):
+                    values = near[i, part]
+                    if len(part) > take:
+                        part = part[values >= np.partition(values, len(part) - take)[len(part) - take] - 1e-6]
+                    exact = np.round(x[part].astype(np.float64) @ q[start + i].astype(np.float64), 6)
                     me = who[start + i]
-                    best = sorted((-c, n) for c, n in zip(exact.tolist(), names[at].tolist(), strict=True) if n != me)[:k]
+                    best = sorted((-c, n) for c, n in zip(exact.tolist(), names[part].tolist(), strict=True) if n != me)[:k]
                     asked += [me] * len(best)
                     found += [n for _, n in best]
                     cosines += [-c for c, _ in best]
@@ -323,7 +374,6 @@ def search(df: DataFrame, key: str, vector: str, asked: Column, k: int = 10, cel
     there, as the nearest are hardly nearer than the rest.
     """
     kind = dict(df.dtypes)[key]
-    arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
     units = _units(df, key, vector, cells.dimensions).select("id", "unit")
     schema = f"id {kind}, unit array<float>, cells array<long>"
     lying = units.mapInArrow(_celled(cells, False), schema).select("id", "unit", F.get("cells", F.lit(0)).alias("cell"))
@@ -333,6 +383,6 @@ def search(df: DataFrame, key: str, vector: str, asked: Column, k: int = 10, cel
     wanted = units.join(df.where(asked).select(F.col(key).alias("id")).distinct(), "id", "left_semi")
     looking = wanted.mapInArrow(_celled(cells, True), schema).select("id", "unit", F.explode("cells").alias("cell")).join(F.broadcast(parts), "cell")
     looking = looking.select("id", "unit", "cell", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"))
-    best = rows.groupBy("cell", "part").cogroup(looking.groupBy("cell", "part")).applyInArrow(_best_in_part(k, cells.dimensions, arrow), f"id {kind}, neighbour {kind}, cosine double")
+    best = rows.groupBy("cell", "part").cogroup(looking.groupBy("cell", "part")).applyInArrow(_best_in_part(k, cells.dimensions, ARROW[kind]), f"id {kind}, neighbour {kind}, cosine double")
     order = Window.partitionBy("id").orderBy(F.col("cosine").desc(), "neighbour")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(F.col("id").alias(key), "neighbour", "cosine", "rank")

@@ -90,21 +90,25 @@ def p6_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _frequencies(spark, sf_dir)
 
 
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return current_rows(load(spark, sf_dir, "embedded_blocks"), ["vec_id"], "embedded_at", ["embedding"])
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of vectors with a cosine of 0.9 or more that are among each other's ten most similar."""
-    near = p7_neighbours(spark, sf_dir)
+    near = nearest(_vectors(spark, sf_dir), "vec_id", "embedding", min_cosine=0.9)
     pair = near.select(F.least("vec_id", "neighbour").alias("vec_id_a"), F.greatest("vec_id", "neighbour").alias("vec_id_b"))
     return pair.groupBy("vec_id_a", "vec_id_b").agg(F.count(F.lit(1)).alias("n")).where("n = 2").select("vec_id_a", "vec_id_b")
 
 
 def p7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The up to ten most similar vectors of every vector, from a cosine of 0.9 on."""
-    return nearest(current_rows(load(spark, sf_dir, "embedded_blocks"), ["vec_id"], "embedded_at", ["embedding"]), "vec_id", "embedding")
+    """The ten most similar vectors of every vector, however distant."""
+    return nearest(_vectors(spark, sf_dir), "vec_id", "embedding")
 
 
 def p7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten most similar vectors, however distant, of every vector whose number is divisible by 50."""
-    return search(current_rows(load(spark, sf_dir, "embedded_blocks"), ["vec_id"], "embedded_at", ["embedding"]), "vec_id", "embedding", F.col("vec_id") % 50 == 0)
+    return search(_vectors(spark, sf_dir), "vec_id", "embedding", F.col("vec_id") % 50 == 0)
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
