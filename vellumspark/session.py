@@ -27,6 +27,7 @@ def local_session(cpus: int | None = None, memory: str = "12g", shuffle_partitio
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     return spark
 
 
