@@ -6,7 +6,7 @@ import atexit
 import gc
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
@@ -61,7 +61,16 @@ def measured(df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict]:
     rows = df.observe(seen, *[c.alias(n) for n, c in metrics.items()]) if metrics else df
     rows.write.option("compression", "zstd").parquet(folder)
     atexit.register(_remove, df.sparkSession, folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder), seen.get if metrics else {}
+    table = df.sparkSession.read.schema(df.schema).parquet(folder)
+    return table, observed(seen, lambda: table.agg(*[c.alias(n) for n, c in metrics.items()]).first().asDict()) if metrics else {}
+
+
+def observed(seen: Observation, otherwise: Callable[[], dict]) -> dict:
+    """What an observation saw. Where adaptive execution found its rows to be empty and dropped it from the plan, `otherwise` counts them."""
+    try:
+        return seen.get
+    except Exception:  # noqa: BLE001 - the JVM's assertion that there is a row
+        return otherwise()
 
 
 def release(spark: SparkSession) -> None:
