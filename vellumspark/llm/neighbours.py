@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from vellumspark.tables import cut, measured, release, written
+from vellumspark.tables import cut, measured, observed, release, written
 
 #: Bits of the sketch that travels with buckets, and of the longer one that is looked up for the pairs that it leaves.
 SKETCH_BITS, MARK_BITS = 128, 256
@@ -205,7 +205,7 @@ def _met(reps: DataFrame, h: Hashing, kind: str, min_cosine: float, k: int, hot_
     watched = lying.observe(seen, F.count_if(F.col("n") > hot_rows).alias("hot"))
     met = looking.join(watched.where(F.col("n") <= hot_rows), "bucket").where((F.col("a") != F.col("b")) & (apart <= hamming_limit(min_cosine)))
     met = written(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    if not seen.get["hot"]:
+    if not observed(seen, lambda: {"hot": lying.where(F.col("n") > hot_rows).count()})["hot"]:
         return met
     hot = lying.where(F.col("n") > hot_rows).select("bucket", "b", F.ceil(F.col("n") / hot_rows).alias("parts"))
     place = lambda c: F.pmod(F.xxhash64(c), "parts")
