@@ -1,11 +1,12 @@
 """Boundaries by hand in several scripts, the transducer against a plain walk, and placement."""
 
 import random
+import time
 
 import numpy as np
 import pytest
 
-from vellumspark.llm.sentences import ENDS, NEXT, OUT, sentence_bounds, sentence_ends, states_before
+from vellumspark.llm.sentences import ANY, ENDS, NEXT, OUT, SYMBOL, chunk_ends, chunk_function, chunk_places, functions_before, sentence_bounds, sentence_ends, states_before
 
 CASES = [
     ["Heading of a section", "\n\n", "It was run at 9 a.m. and 5 p.m. on the sample.", " ", "We thank Dr. Smith and J. K. Rowe."],
@@ -54,8 +55,42 @@ def test_scan_equals_walk(block):
     for s in symbols:
         walked.append(state)
         state = NEXT[s][state]
-    assert states_before(symbols, block, 0).tolist() == walked and states_before(symbols).tolist() == walked
-    assert NEXT.shape == ENDS.shape
+    assert states_before(symbols, block).tolist() == walked
+    before, whole = functions_before(symbols[:500], block)
+    assert whole[OUT] == walked[500] and states_before(symbols[500:], block, entry=whole[OUT]).tolist() == walked[500:]
+    assert NEXT.shape == ENDS.shape and len(SYMBOL) == len(ANY) and min(min(r) for r in SYMBOL) >= 0
+
+
+LONG = "\n\n".join("".join(c) for c in CASES * 6)
+
+
+@pytest.mark.parametrize("size", [60, 333, 2_000])
+def test_chunks_of_any_length_give_the_same(size):
+    state, got, places = OUT, [], chunk_places(LONG, size)
+    for i, (low, start, stop, high) in enumerate(places):
+        own = LONG[low:high], start - low, None if i + 1 == len(places) else stop - low
+        got += [low + e for e in chunk_ends(*own, state)]
+        state = chunk_function(*own)[state]
+    assert len(places) > 1 and got == sentence_ends([LONG])[0]
+
+
+@pytest.mark.parametrize("part", ["12. Xyz ", "Foo bar 12. Baz qux ", "1. A\n\n", "“他说。”“", "et al. 2. "])
+def test_time_is_linear(part):
+    def took(n):
+        began = time.process_time()
+        sentence_ends([part * n])
+        return time.process_time() - began
+
+    took(2_000)
+    assert took(80_000) < 10 * max(0.05, took(20_000))
+
+
+def test_long_texts_go_to_several_tasks(spark):
+    rows = [("a", LONG), ("a", LONG), (None, LONG + " More."), ("b", "One. Two."), ("c", "9" * 900), ("d", None)]
+    df = spark.createDataFrame(rows, "id string, text string")
+    got = sorted(map(tuple, sentence_bounds(df, ["id"], "text", chunk_chars=500).collect()), key=str)
+    assert got == sorted(map(tuple, sentence_bounds(df, ["id"], "text").collect()), key=str)
+    assert len(got) == 2 * len(sentence_ends([LONG])[0]) + len(sentence_ends([LONG + " More."])[0]) + 3
 
 
 def test_bounds_in_a_table(spark):
