@@ -34,7 +34,7 @@ ROWS_AT_ONCE = 2_000
 #: Part of the pairs at the least cosine that the tables bring together, whatever the number of vectors.
 RECALL = 0.9995
 #: Tables whose buckets are shuffled at once; further ones follow when the pairs of these are written, so disk doesn't grow with tables.
-TABLES_AT_ONCE = 6
+TABLES_AT_ONCE = 4
 #: Rows of a bucket beyond which its pairs are not written: parts of it are compared in blocks, and each part gives a vector's k nearest alone.
 HOT_ROWS = 2_000
 #: Rows of a block of a scan.
@@ -178,10 +178,10 @@ def _hashed(h: Hashing):
     return run
 
 
-def hamming_limit(min_cosine: float, bits: int = SKETCH_BITS) -> int:
-    """Sketches of vectors with this cosine differ in no more places, but for a chance of less than one in a million: six deviations."""
+def hamming_limit(min_cosine: float, bits: int = SKETCH_BITS, deviations: float = 5) -> int:
+    """Sketches of vectors with this cosine differ in no more places, but for a chance of about one in a million (of a pair of just this cosine)."""
     p = math.acos(max(-1.0, min(1.0, min_cosine))) / math.pi
-    return math.ceil(bits * p + 6 * math.sqrt(bits * p * (1 - p)))
+    return math.ceil(bits * p + deviations * math.sqrt(bits * p * (1 - p)))
 
 
 def _cosine(a: Column, b: Column) -> Column:
@@ -228,7 +228,7 @@ def _near(reps: DataFrame, marks: DataFrame, h: Hashing, kind: str, k: int, min_
     pairs = reduce(DataFrame.unionByName, found).distinct()
     own = lambda n, m: marks.select(F.col("id").alias(n), F.col("marks").alias(m))
     differ = F.aggregate(F.zip_with("m", "n", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, v: s + v)
-    pairs = pairs.join(own("a", "m"), "a").join(own("b", "n"), "b").where(differ <= hamming_limit(min_cosine, MARK_BITS)).select("a", "b")
+    pairs = pairs.join(own("a", "m"), "a").join(own("b", "n"), "b").where(differ <= hamming_limit(min_cosine, MARK_BITS, 6)).select("a", "b")
     # renamed only after the join: so both joins read the same shuffle of vectors
     first = pairs.join(reps, F.col("a") == F.col("id")).select("a", "b", F.col("unit").alias("u"))
     exact = first.join(reps, F.col("b") == F.col("id")).select("a", "b", _cosine(F.col("u"), F.col("unit")).alias("cosine")).where(F.col("cosine") >= min_cosine)
