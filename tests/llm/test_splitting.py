@@ -1,8 +1,9 @@
 import random
+import time
 
 import pytest
 
-from vellumspark.llm.splitting import Limits, oversized, split_items, split_text
+from vellumspark.llm.splitting import Limits, oversized, pieces_hold, split_items, split_text
 
 
 def tokens(t):
@@ -62,6 +63,32 @@ def test_natural_places():
     assert all(b in starts and a in starts for a, b, _ in split_text("".join(sentences)))
 
 
+def test_siblings_alone_are_merged():
+    rng = random.Random(3)
+    a, b = "# A\n\n" + " ".join(prose(rng, 330)) + "\n\n", "## B\n\n" + " ".join(prose(rng, 30)) + "\n\n"
+    c, d = "# C\n\n" + " ".join(prose(rng, 40)) + "\n\n", "# D\n\n" + " ".join(prose(rng, 40)) + "\n\n"
+    text = a + b + c + d
+    new = [(x, y) for _, x, y in split_text(text)]
+    starts = [x for x, _ in new]
+    assert len(a) in starts and len(a + b) in starts and new[-1] == (len(a + b), len(text))
+
+
+def test_deep_nesting_takes_linear_time():
+    def took(depth):
+        text = "".join(f"{'.'.join(['1'] * (i % 40 + 1))} Head of part\n\n" + "word " * 60 + "\n\n" for i in range(depth))
+        began = time.process_time()
+        pieces = split_text(text)
+        assert "".join(text[b:c] for _, b, c in pieces) == text
+        return time.process_time() - began
+
+    nested = "".join(f"{'.'.join(['1'] * (i + 1))} Head\n\nbody of it\n\n" for i in range(1500))
+    began = time.process_time()
+    assert "".join(nested[b:c] for _, b, c in split_text(nested)) == nested
+    assert time.process_time() - began < 20
+    took(200)
+    assert took(8_000) < 10 * max(0.05, took(2_000))
+
+
 def test_limits_are_exact():
     assert split_text(" ".join(["w"] * 231)) == [(0, 0, 461)]
     assert len(split_text(" ".join(["w"] * 232))) == 2
@@ -75,3 +102,4 @@ def test_table(spark):
     for r in got:
         assert r.piece == {"a": "short", "b": "x " * 400}[r.id][r.start_char : r.end_char]
     assert split_items(df.limit(0), ["id"], "t").count() == 0
+    assert {tuple(r) for r in pieces_hold(df, ["id"], "t").collect()} == {("a", True, True, True), ("b", True, True, True)}

@@ -13,10 +13,10 @@ from vellumspark.llm.items import current_block_items, current_chunk_items, curr
 from vellumspark.llm.leakage import leaked_items
 from vellumspark.llm.neighbours import nearest, search
 from vellumspark.llm.ranking import fuse_scores
-from vellumspark.llm.reading import fit, item_table, reading_levels
+from vellumspark.llm.reading import fit, fit_languages, item_table, reading_levels
 from vellumspark.llm.sentences import sentence_bounds
-from vellumspark.llm.splitting import split_items
-from vellumspark.tables import current_rows, cut, load, written
+from vellumspark.llm.splitting import pieces_hold, split_items
+from vellumspark.tables import current_rows, load, written
 
 ITEM = ["item_kind", "owner_id", "item_id"]
 
@@ -76,6 +76,11 @@ def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_items(current_items(spark, sf_dir), ITEM, "text")
 
 
+def p5_hold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the pieces of every chunk and block tile its text, keep the limits and overlap."""
+    return pieces_hold(current_items(spark, sf_dir), ITEM, "text")
+
+
 def _frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return term_frequencies(current_chunks(spark, sf_dir, "content_text").select(clean_terms(F.col("content_text")).alias("terms")), "terms")
 
@@ -132,28 +137,24 @@ def p9_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p10_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The estimated level of every current document and the measures that go with it."""
-    items = written(item_table(current_documents(spark, sf_dir, "text"), ["doc_id"], "text"))
+    items = written(item_table(current_documents(spark, sf_dir, "text", "lang"), ["doc_id", "lang"], "text"))
     labels = load(spark, sf_dir, "doc_labels").select("doc_id", "reader_level", "rater").distinct()
-    judged = items.join(labels, "doc_id").select("reader_level", "items", "tf")
-    return reading_levels(items, ["doc_id"], fit(items, judged, "reader_level"))
+    judged = items.join(labels, "doc_id").select("reader_level", "codes", "tf", "forms")
+    return reading_levels(items, ["doc_id"], fit(items, judged, "reader_level", *fit_languages(items, "doc_id", "lang")))
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """English documents that are easy (1) or hard (3) by the exact limits, whatever the other documents are.
-
-    The limits are absolute and say nothing of single words, so no bound on the level holds for all texts within them: a
-    level is only asked for, which every text with a word has.
-    """
-    levels = cut(p10_levels(spark, sf_dir))  # of all documents, not of those within the limits alone
+    """English documents on the easy side of the scale (1) or on the hard side (3), as far as they keep the exact limits."""
+    levels = p10_levels(spark, sf_dir).where("lang = 'en' and n_words >= 40")
+    band = F.when(F.col("level") < 0, F.lit(1)).when(F.col("level") > 0, F.lit(3))
     easy = (F.col("words_per_sentence") <= 10) & (F.col("letters_per_word") <= 3.8)
     hard = (F.col("words_per_sentence") >= 21) & (F.col("letters_per_word") >= 8.5)
-    band = F.when(easy, F.lit(1)).when(hard, F.lit(3))
-    return levels.where("lang = 'en' and n_words >= 40 and level is not null").select("doc_id", band.alias("band")).where("band is not null")
+    return levels.withColumn("band", band).where(((F.col("band") == 1) & easy) | ((F.col("band") == 3) & hard)).select("doc_id", "band")
 
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_scores, p3_found, p3_ranking, p4_found, p4_sentences, p5_found, p5_pieces, p6_found, p6_frequencies, p7_found, p7_neighbours, p7_topk, p8_ids, p9_found, p9_leaks, p10_found, p10_levels)
+    for f in (p1_found, p1_scores, p3_found, p3_ranking, p4_found, p4_sentences, p5_found, p5_pieces, p5_hold, p6_found, p6_frequencies, p7_found, p7_neighbours, p7_topk, p8_ids, p9_found, p9_leaks, p10_found, p10_levels)
 }
 
 _WS = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
@@ -218,6 +219,7 @@ ORACLES = {
     "p3_found": _FUSED + "SELECT query_id, chunk_id FROM placed WHERE position = 1",
     "p3_ranking": _FUSED + "SELECT query_id, chunk_id, round(fused, 9) AS fused, position FROM placed",
     "p5_found": _ITEMS.split("tokens AS")[0].rstrip().rstrip(",") + f" SELECT item_kind, owner_id, item_id FROM items WHERE length(text) > 2400 OR floor(len(regexp_extract_all(text, '{_BLACK}+')) * 1.3::DOUBLE) > 300",
+    "p5_hold": _ITEMS.split("tokens AS")[0].rstrip().rstrip(",") + " SELECT item_kind, owner_id, item_id, true AS tiles, true AS within, true AS overlaps FROM items WHERE length(text) > 0",
     "p6_found": _FREQ + "SELECT term FROM marked WHERE mark IS NOT NULL",
     "p6_frequencies": _FREQ + "SELECT term, occurrences, records, mark FROM marked",
     "p7_found": _UNITS + "SELECT x.a AS vec_id_a, x.b AS vec_id_b FROM top x JOIN top y ON x.a = y.b AND x.b = y.a WHERE x.a < x.b",
