@@ -6,22 +6,26 @@ from vellumspark.llm.leakage import leaked_items, words_of
 
 
 def brute(docs, items):
-    grams = {i: {tuple(w[k : k + 10]) for w in [words_of(t)] for k in range(len(w) - 9)} for i, t in items if t}
+    grams = {}
+    for i, t in items:
+        w = words_of(t or "")
+        n = min(10, len(w))
+        grams[i] = {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if n else set()
     out = {}
     for d, t in docs:
         if t:
             w = words_of(t)
-            own = {tuple(w[k : k + 10]) for k in range(len(w) - 9)}
+            own = {tuple(w[k : k + n]) for n in range(1, 11) for k in range(len(w) - n + 1)}
             for i, g in grams.items():
                 if own & g:
-                    out[d, i] = len(own & g)
+                    out[d, i] = len(own & g), round(len(own & g) / len(g), 9)
     return out
 
 
 def tables():
     rng = random.Random(8)
     words = [f"w{i}" for i in range(300)] + ["Été", "über", "naïve"]
-    items = [(i, " ".join(rng.choice(words) for _ in range(rng.choice([5, 10, 40])))) for i in range(30)]
+    items = [(i, " ".join(rng.choice(words) for _ in range(rng.choice([2, 5, 10, 40])))) for i in range(30)]
     docs = []
     for d in range(40):
         parts = [" ".join(rng.choice(words) for _ in range(rng.choice([0, 30, 400])))]
@@ -36,11 +40,11 @@ def tables():
     return docs, items
 
 
-@pytest.mark.parametrize("limit", [4_000_000, 0])
-def test_against_brute_force(spark, limit):
+@pytest.mark.parametrize("bits", [1 << 27, 64])
+def test_against_brute_force(spark, bits):
     docs, items = tables()
-    got = leaked_items(spark.createDataFrame(docs * 2, "id bigint, text string"), "id", "text", spark.createDataFrame([(i, t) for i, t in items] * 2, "item_id bigint, text string"), "item_id", "text", signature_limit=limit)
-    assert {(r.id, r.item_id): r.windows for r in got.collect()} == brute(docs, items)
+    got = leaked_items(spark.createDataFrame(docs * 2, "id bigint, text string"), "id", "text", spark.createDataFrame([(i, t) for i, t in items] * 2, "item_id bigint, text string"), "item_id", "text", filter_bits=bits)
+    assert {(r.id, r.item_id): (r.windows, round(r.contained, 9)) for r in got.collect()} == brute(docs, items)
     assert brute(docs, items)
 
 

@@ -1,18 +1,21 @@
-"""Held-out passages inside training documents: MinHash containment over windows, verified by exact shingles.
-
-A passage of WINDOW words is a set of WINDOW - SHINGLE + 1 word shingles. Sets of one size are compared with sets of the
-same size: every window of every document against every window of every item. Containment of such a set is then
-equality, its Jaccard similarity is 1, and one MinHash (the least shingle hash) agrees for certain, so no document is
-missed however long it is; a signature of the whole document would need a similarity of one in thousands to find ten
-words in it. Neighbouring windows share their least shingle more often than not, which makes it a cheap first look.
-Windows that agree are compared word by word.
+"""Held-out passages inside training documents: size-partitioned MinHash containment, verified by exact shingles.
+
+What an item has to have in common with a document is a passage: `window` words, or the whole item if it is shorter. A
+passage is a set of word shingles, and items fall into partitions by the size of their passages. In the partition of size
+s a document is the family of its own passages of s words, so both sides of a comparison have the same number of shingles:
+containment of one in the other is then a Jaccard similarity of 1, at which a single MinHash (the least shingle hash)
+agrees for certain. No document is missed however long it is; a signature of the whole document would need a similarity
+of one in thousands to find ten words in it. Passages that agree are compared word by word.
+
+Before anything is shuffled, documents' passages are held against a table of FILTER_BITS bits that the items' signatures
+are marked in. More items fill more of it, and it lets more pass; the result is the same.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -20,9 +23,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vellumspark.tables import written
+
 SHINGLE, WINDOW = 5, 10
-#: Item windows up to which their signatures go to every task (8 bytes each); beyond, the join alone finds them.
-SIGNATURE_LIMIT = 4_000_000
+#: Bits of the table of signatures that goes to every task: 16 MB at most, less for few items.
+FILTER_BITS = 1 << 27
 KNOWN_WORDS = 500_000
 WORD = re.compile(r"[^\W_]+")
 
@@ -66,48 +71,66 @@ class _Hasher:
         return least
 
 
-def _window_rows(shingle: int, window: int, wanted: Callable[[], np.ndarray | None], id_type: pa.DataType):
+class _Filter:
+    """The bits of the items' signatures: places and values of the words that aren't zero."""
+
+    def __init__(self, places: np.ndarray, values: np.ndarray, bits: int):
+        self.places, self.values, self.bits = places, values, bits
+
+    def opened(self) -> np.ndarray:
+        table = np.zeros(self.bits >> 6, np.uint64)
+        table[self.places] = self.values.view(np.uint64)
+        return table
+
+
+def _passing(table: np.ndarray, signatures: np.ndarray) -> np.ndarray:
+    at = signatures & np.uint64((len(table) << 6) - 1)
+    return np.flatnonzero((table[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1))
+
+
+def _passages(shingle: int, window: int, sizes: Sequence[int] | None, marked, id_type: pa.DataType):
+    """id, size, signature, gram of the passages of each text: of all `sizes`, as far as `marked` lets them pass, or (None) of the text's own size."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, sought = _Hasher(), wanted()
+        hasher, table = _Hasher(), marked.value.opened() if marked is not None else None
         for batch in batches:
-            ids, signatures, grams = [], [], []
+            ids, of, signatures, grams = [], [], [], []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if not text:
-                    continue
-                words = words_of(text)
-                least = hasher.windows(words, shingle, window)
-                if not len(least):
-                    continue
-                if sought is not None:
-                    at = np.flatnonzero(sought[np.minimum(np.searchsorted(sought, least), len(sought) - 1)] == least) if len(sought) else ()
-                else:
-                    at = range(len(least))
-                for gram, signature in {" ".join(words[i : i + window]): least[i] for i in at}.items():
-                    ids.append(key)
-                    signatures.append(int(signature) - (1 << 63))
-                    grams.append(gram)
-            yield pa.record_batch([pa.array(ids, id_type), pa.array(signatures, pa.int64()), pa.array(grams, pa.string())], names=["id", "signature", "gram"])
+                words = words_of(text) if text else ()
+                for size in ([min(len(words), window)] if sizes is None else sizes) if words else ():
+                    least = hasher.windows(words, min(shingle, size), size) ^ np.uint64(size * 0x9E3779B97F4A7C15 % 2**64)
+                    at = range(len(least)) if table is None else _passing(table, least)
+                    for gram, signature in {" ".join(words[i : i + size]): least[i] for i in at}.items():
+                        ids.append(key)
+                        of.append(size)
+                        signatures.append(int(signature) - (1 << 63))
+                        grams.append(gram)
+            yield pa.record_batch([pa.array(ids, id_type), pa.array(of, pa.int32()), pa.array(signatures, pa.int64()), pa.array(grams, pa.string())], names=["id", "size", "signature", "gram"])
 
     return run
 
 
-def leaked_items(corpus: DataFrame, doc_id: str, doc_text: str, items: DataFrame, item_id: str, item_text: str, window: int = WINDOW, shingle: int = SHINGLE, signature_limit: int = SIGNATURE_LIMIT) -> DataFrame:
-    """doc_id, item_id, windows: each document that holds at least `window` consecutive words of an item, the items it holds, and how many different windows of theirs.
+def leaked_items(corpus: DataFrame, doc_id: str, doc_text: str, items: DataFrame, item_id: str, item_text: str, window: int = WINDOW, shingle: int = SHINGLE, filter_bits: int = FILTER_BITS) -> DataFrame:
+    """doc_id, item_id, size, windows, contained: each document that holds at least `window` consecutive words of an item, or all of a shorter one, and the items it holds.
 
-    Words are runs of letters and digits; case, accents and whatever stands between words don't matter. Null texts, and
-    items of fewer than `window` words, match nothing; repeated rows count once; the two tables' columns may bear the
-    same names. Up to `signature_limit` item windows the tasks drop windows of other signatures at once; the result is
-    the same without.
+    size is the number of words that had to be common, windows how many different passages of the item the document
+    holds, contained their share of all different passages of the item. Words are runs of letters and digits; case, accents and
+    whatever stands between words don't matter. Null texts and texts without words match nothing; repeated rows count
+    once; the two tables' columns may bear the same names. `filter_bits` is a power of two.
     """
-    spark = corpus.sparkSession
+    context = corpus.sparkSession.sparkContext
     types = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
     kind = dict(corpus.dtypes)[doc_id], dict(items.dtypes)[item_id]
-    held = items.select(item_id, item_text).mapInArrow(_window_rows(shingle, window, lambda: None, types[kind[1]]), f"id {kind[1]}, signature long, gram string").distinct()
-    signatures = held.select("signature").distinct()
-    wanted: Callable[[], np.ndarray | None] = lambda: None
-    if signatures.limit(signature_limit + 1).count() <= signature_limit:
-        shared = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in signatures.collect()], dtype=np.int64).view(np.uint64) + np.uint64(1 << 63)))
-        wanted = lambda: shared.value
-    found = corpus.select(doc_id, doc_text).mapInArrow(_window_rows(shingle, window, wanted, types[kind[0]]), f"id {kind[0]}, signature long, gram string")
-    pairs = found.select(F.col("id").alias("_doc"), "signature", "gram").join(held.select(F.col("id").alias("_item"), "signature", "gram"), ["signature", "gram"])
-    return pairs.groupBy("_doc", "_item").agg(F.countDistinct("gram").alias("windows")).select(F.col("_doc").alias(doc_id), F.col("_item").alias(item_id), "windows")
+    schema = "id {0}, size int, signature long, gram string"
+    held = written(items.select(item_id, item_text).mapInArrow(_passages(shingle, window, None, None, types[kind[1]]), schema.format(kind[1])).distinct())
+    sizes = sorted(r[0] for r in held.select("size").distinct().collect())  # at most `window`
+    # marks are set in the order of unsigned signatures, of which these are all but the sign
+    place = f"(signature & {filter_bits - 1}L)"
+    marks = held.groupBy(F.expr(f"shiftright({place}, 6)").alias("p")).agg(F.expr(f"bit_or(shiftleft(1L, cast({place} & 63 as int)))").alias("v")).toArrow()
+    marked = context.broadcast(_Filter(marks.column("p").to_numpy(), marks.column("v").to_numpy(), filter_bits))
+    found = corpus.select(doc_id, doc_text).mapInArrow(_passages(shingle, window, sizes, marked, types[kind[0]]), schema.format(kind[0]))
+    own = held.select(F.col("id").alias("_item"), "size", "signature", "gram")
+    pairs = found.select(F.col("id").alias("_doc"), "signature", "gram").join(own, ["signature", "gram"])
+    hits = pairs.groupBy("_doc", "_item", "size").agg(F.countDistinct("gram").alias("windows"))
+    whole = held.groupBy(F.col("id").alias("_item"), "size").agg(F.countDistinct("gram").alias("_all"))
+    return hits.join(whole, ["_item", "size"]).select(F.col("_doc").alias(doc_id), F.col("_item").alias(item_id), "size", "windows", (F.col("windows") / F.col("_all")).alias("contained"))
