@@ -39,6 +39,12 @@ def test_fusion_against_brute_force(spark, part_rows):
     assert got == brute(rows)
 
 
+def test_one_tie_of_a_whole_large_group(spark):
+    df = spark.range(300).select(F.lit(7).alias("q"), F.format_string("i%03d", "id").alias("item"), F.lit(1.0).alias("s1"), F.lit(None).cast("double").alias("s2"), F.lit(2.0).alias("s3"))
+    got = {r["item"]: r.position for r in fuse_scores(df, "q", "item", ["s1", "s2", "s3"], part_rows=50).collect()}
+    assert got == {f"i{i:03d}": i + 1 for i in range(300)}
+
+
 def test_no_score_wins_by_size_and_empty_table(spark):
     df = spark.createDataFrame([(1, "a", 0.1, 1e9, 0.0, ""), (1, "b", 0.2, 1.0, 0.5, ""), (1, "c", 0.15, 2.0, 0.1, "")], SCHEMA)
     order = [r["item"] for r in fuse_scores(df, "q", "item", ["s1", "s2", "s3"]).orderBy("position").collect()]
@@ -50,4 +56,4 @@ def test_rank_of_a_large_group_in_parts(spark):
     df = spark.range(5000).select(F.lit(1).alias("g"), F.pmod(F.col("id") * 7919, F.lit(1700)).cast("double").alias("v"))
     values = [r.v for r in df.collect()]
     above = {v: 1 + sum(w > v for w in values) for v in set(values)}
-    assert {r.v: r.rank for r in distributed_rank(df, "g", "v", "rank", part_rows=100).collect()} == above
+    assert {r.v: r.rank for r in distributed_rank(df, "g", "v", "rank").collect()} == above

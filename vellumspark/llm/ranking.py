@@ -7,34 +7,29 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellumspark.tables import cut
+from vellumspark.tables import cut, written
 
-#: Groups with more distinct values than this are ranked in parts of about this size.
+#: Where a group has more rows than this, groups are ranked in ranges that several tasks share; the result is the same.
 PART_ROWS = 100_000
 
 
-def distributed_rank(df: DataFrame, group: str, value: str, rank: str, part_rows: int = PART_ROWS) -> DataFrame:
+def _in_parts(df: DataFrame, order: Sequence[Column], group: str, weight: Column) -> DataFrame:
+    """df with _before: the sum of `weight` over the rows of the group that come before a row. Rows are cut into ranges of (group, order), whatever the groups' sizes; sums of ranges give their offsets."""
+    ranged = written(df.repartitionByRange(F.col(group), *order).withColumn("_part", F.spark_partition_id()))
+    totals = ranged.groupBy(group, "_part").agg(F.sum(weight).alias("_total"))
+    earlier = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as ranges
+    offsets = totals.select(group, "_part", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_offset"))
+    within = Window.partitionBy(group, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return ranged.withColumn("_here", F.coalesce(F.sum(weight).over(within), F.lit(0))).join(offsets, [group, "_part"]).withColumn("_before", F.col("_offset") + F.col("_here")).drop("_part", "_offset", "_here")
+
+
+def distributed_rank(df: DataFrame, group: str, value: str, rank: str) -> DataFrame:
     """group, value, rank: 1 + the number of rows of the group with a greater value, for every distinct non-null value.
 
-    Equal values are counted together before anything is ordered. A group with more than `part_rows` distinct values is
-    cut at quantiles of them (a mergeable sketch); a value's rank is then the rows of all higher parts plus the rows above
-    it in its own part. Where the cuts lie does not change the result, only how evenly the work is spread.
+    Equal values are counted together before anything is ordered.
     """
     distinct = df.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("_rows"))
-    sizes = distinct.groupBy(group).agg(F.count(F.lit(1)).alias("_distinct")).where(F.col("_distinct") > part_rows)
-    parts = F.least(F.ceil(F.col("_distinct") / F.lit(part_rows)), F.lit(1000)).cast("int")
-    fractions = [i / 1000 for i in range(1, 1000)]
-    cuts = distinct.join(sizes, group, "left_semi").groupBy(group).agg(F.percentile_approx(value, fractions, 10_000).alias("_all")).join(sizes, group)
-    step = F.ceil(F.lit(1000) / parts).cast("int")
-    cuts = cuts.select(group, F.array_distinct(F.filter("_all", lambda x, i: (i + 1) % step == 0)).alias("_cuts"))
-    placed = distinct.join(cuts, group, "left").withColumn("_part", F.coalesce(F.size(F.filter("_cuts", lambda c: c <= F.col(value))), F.lit(0)))
-    placed = placed.withColumn("_part", F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(F.col("_part"))).drop("_cuts")
-    totals = placed.groupBy(group, "_part").agg(F.sum("_rows").alias("_total"))
-    above = Window.partitionBy(group).orderBy(F.col("_part").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(group, "_part", F.coalesce(F.sum("_total").over(above), F.lit(0)).alias("_above"))
-    within = Window.partitionBy(group, "_part").orderBy(F.col(value).desc()).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = placed.withColumn("_here", F.coalesce(F.sum("_rows").over(within), F.lit(0)))
-    return ranked.join(totals, [group, "_part"]).select(group, value, (F.col("_above") + F.col("_here") + 1).alias(rank))
+    return _in_parts(distinct, [F.col(value).desc()], group, F.col("_rows")).select(group, value, (F.col("_before") + 1).alias(rank))
 
 
 def _fused(named: Sequence[str], k: int) -> Column:
@@ -54,17 +49,15 @@ def _within_groups(rows: DataFrame, named: Sequence[str], k: int) -> DataFrame:
     return out.withColumn("position", F.row_number().over(group.orderBy(F.col("fused").desc(), "_i")))
 
 
-def _across_tasks(rows: DataFrame, named: Sequence[str], k: int, part_rows: int) -> DataFrame:
-    """Some group is too large for one task: ranks come from counts of parts."""
+def _across_tasks(rows: DataFrame, named: Sequence[str], k: int) -> DataFrame:
+    """Some group is too large for one task: ranks and positions come from sums over ranges, ties included."""
     lowest = rows.groupBy("_g").agg(*[F.min(s).alias(f"{s}_low") for s in named])
     filled = cut(rows.join(lowest, "_g").select("_was", "_g", "_i", *[F.coalesce(s, f"{s}_low").alias(s) for s in named]))
     out = filled
     for s in named:
-        out = out.join(distributed_rank(filled, "_g", s, f"{s}_rank", part_rows), ["_g", s], "left")
-    out = cut(out.select("_was", "_g", "_i", _fused(named, k).alias("fused")))
-    tied = Window.partitionBy("_g", "fused").orderBy("_i")
-    ranks = distributed_rank(out, "_g", "fused", "_rank", part_rows)
-    return out.join(ranks, ["_g", "fused"]).withColumn("position", F.col("_rank") + F.row_number().over(tied) - 1)
+        out = out.join(distributed_rank(filled, "_g", s, f"{s}_rank"), ["_g", s], "left")
+    out = out.select("_was", "_g", "_i", _fused(named, k).alias("fused"))
+    return _in_parts(out, [F.col("fused").desc(), F.col("_i")], "_g", F.lit(1)).withColumn("position", F.col("_before") + 1)
 
 
 def _usable(c: Column) -> Column:
@@ -88,5 +81,5 @@ def fuse_scores(df: DataFrame, group: str, item: str, scores: Sequence[str], k:
     if largest <= part_rows:
         order = _within_groups(rows, named, k)
     else:
-        order = _across_tasks(cut(rows), named, k, part_rows)
+        order = _across_tasks(cut(rows), named, k)
     return order.select(F.col("_was").alias(group), F.col("_i").alias(item), "fused", "position")
