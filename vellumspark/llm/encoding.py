@@ -35,9 +35,8 @@ def vocabulary_path(name: str = "byte_bpe_50k.tiktoken", folder: str | None = No
 class ByteEncoder:
     """A rank file: each line a token in base 64 and its id; ids are in the order of the merges, single bytes come first."""
 
-    def __init__(self, path: str):
-        with open(path, "rb") as lines:
-            ranks = {base64.b64decode(a).decode("latin-1"): int(b) for a, b in (line.split() for line in lines if line.strip())}
+    def __init__(self, rank_file: bytes):
+        ranks = {base64.b64decode(a).decode("latin-1"): int(b) for a, b in (line.split() for line in rank_file.splitlines() if line.strip())}
         self.ids = ranks
         self.text = {i: t for t, i in ranks.items()}
         self.matcher = ahocorasick.Automaton()
@@ -148,21 +147,27 @@ class ByteEncoder:
 
 
 @lru_cache(maxsize=2)
+def encoder_of(rank_file: bytes) -> ByteEncoder:
+    return ByteEncoder(rank_file)
+
+
 def encoder(path: str) -> ByteEncoder:
-    return ByteEncoder(path)
+    with open(path, "rb") as f:
+        return encoder_of(f.read())
 
 
 def encode_texts(df: DataFrame, keys: Sequence[str], text: str, path: str | None = None) -> DataFrame:
     """keys, ids (array<int>): the token ids of each row's whole text, without special tokens (their names are ordinary text).
 
-    An empty text and a null text have an empty list. Repeated rows are encoded each. The vocabulary is a file that every
-    executor can read; nothing is shuffled.
+    An empty text and a null text have an empty list. Repeated rows are encoded each. The vocabulary is a file of the
+    driver, of about a megabyte, which goes to the executors with the job; nothing is shuffled.
     """
-    where = path or vocabulary_path()
+    with open(path or vocabulary_path(), "rb") as f:
+        shipped = df.sparkSession.sparkContext.broadcast(f.read())
 
     @F.arrow_udf("array<int>")
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        known = encoder(where)
+        known = encoder_of(shipped.value)
         for column in batches:
             yield pa.array([known.encode(t) if t else [] for t in column.to_pylist()], pa.list_(pa.int32()))
 
