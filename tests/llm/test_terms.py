@@ -1,13 +1,14 @@
 """Distinctive terms and term frequencies against brute force."""
 
 import math
+import random
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from vellumspark.functions.text import clean_terms
-from vellumspark.llm.distinctive import count_terms, log_entropy
+from vellumspark.llm.distinctive import count_terms, least_score, log_entropy
 from vellumspark.llm.frequency import term_frequencies
 
 TEXTS = [
@@ -39,6 +40,15 @@ def test_log_entropy_against_formula(spark):
         assert r.weight == pytest.approx(weight, abs=1e-9) and r.score == pytest.approx(math.log2(1 + tf) * weight, abs=1e-9)
 
 
+def test_no_score_is_below_its_bound(spark):
+    rng = random.Random(12)
+    df = spark.createDataFrame([(i, " ".join(f"t{min(int(rng.paretovariate(0.7)), 60)}" for _ in range(40))) for i in range(50)], "id int, text string")
+    scored = log_entropy(count_terms(df, ["id"], clean_terms(F.col("text"))), df.agg(F.count(F.lit(1)).alias("n"))).withColumn("least", least_score(3, 8, F.col("n")))
+    rows = scored.collect()
+    assert all(r.score >= r.least for r in rows if r.tf >= 3 and r.df <= 8)
+    assert any(r.score < r.least for r in rows)  # terms that everyone has
+
+
 def test_kinds_apart_lone_record_and_empty_table(spark):
     df = spark.createDataFrame([("x", "1", ["t", "t", None]), ("y", "1", ["t"]), ("y", "2", ["t", "u"]), ("y", "3", None)], "kind string, id string, terms array<string>")
     records = df.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))

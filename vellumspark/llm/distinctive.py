@@ -24,7 +24,7 @@ def term_weights(counts: DataFrame, kind: Sequence[str] = ()) -> DataFrame:
 
 
 def log_entropy(counts: DataFrame, records: DataFrame, kind: Sequence[str] = ()) -> DataFrame:
-    """counts of `count_terms` with df, gf, weight and score.
+    """counts of `count_terms` with df, gf, n, weight and score.
 
     weight  1 - entropy / ln n, n the number of records of the kind (records: kind, n): 1 for a term of a single record,
             0 for one spread evenly over all records, and 1 for every term of a lone record
@@ -37,5 +37,11 @@ def log_entropy(counts: DataFrame, records: DataFrame, kind: Sequence[str] = ())
     weights = term_weights(counts, kind)
     weights = weights.join(n, list(kind)) if kind else weights.crossJoin(F.broadcast(n))
     weight = F.when(F.col("n") > 1, F.greatest(F.lit(0.0), 1 - F.col("entropy") / F.log("n"))).otherwise(F.lit(1.0))
-    out = counts.join(weights.select(*kind, "term", "df", "gf", weight.alias("weight")), [*kind, "term"])
+    out = counts.join(weights.select(*kind, "term", "df", "gf", "n", weight.alias("weight")), [*kind, "term"])
     return out.withColumn("score", F.log2(1 + F.col("tf")) * F.col("weight"))
+
+
+def least_score(tf: int, df: int, n: Column) -> Column:
+    """No term has a smaller score that occurs `tf` times or more in its record and in at most `df` of n records: its entropy is at most ln df. Rounding is allowed for."""
+    weight = F.when(n > 1, F.greatest(F.lit(0.0), 1 - F.log(F.lit(float(df))) / F.log(n))).otherwise(F.lit(1.0))
+    return F.log2(F.lit(1.0 + tf)) * weight - 1e-9

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellumspark.functions.text import clean_terms
-from vellumspark.llm.distinctive import count_terms, log_entropy
+from vellumspark.llm.distinctive import count_terms, least_score, log_entropy
 from vellumspark.llm.encoding import encode_texts
 from vellumspark.llm.frequency import term_frequencies
 from vellumspark.llm.items import current_block_items, current_chunk_items, current_chunks, current_documents, current_items
@@ -31,8 +31,9 @@ def _scored_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Terms at least 3 times in a record and in 2 to 8 records of its kind."""
-    return _scored_terms(spark, sf_dir).where((F.col("tf") >= 3) & F.col("df").between(2, 8)).select(*ITEM, "term")
+    """Terms distinctive enough to be at least 3 times in a record and in no more than 8 of its kind; of those the ones that are, in 2 at least."""
+    distinctive = _scored_terms(spark, sf_dir).where(F.col("score") >= least_score(3, 8, F.col("n")))
+    return distinctive.where((F.col("tf") >= 3) & F.col("df").between(2, 8)).select(*ITEM, "term")
 
 
 def p1_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,12 +128,12 @@ def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold ten consecutive words of a held-out item, with the item."""
-    return _leaks(spark, sf_dir).select("doc_id", "item_id")
+    return _leaks(spark, sf_dir).where("size = 10").select("doc_id", "item_id")
 
 
 def p9_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same with the number of different ten-word windows found."""
-    return _leaks(spark, sf_dir)
+    """The same, and shorter items that are held whole, with the number of different windows found and their share of the item's."""
+    return _leaks(spark, sf_dir).select("doc_id", "item_id", "windows", F.round("contained", 6).alias("contained"))
 
 
 def p10_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -210,7 +211,8 @@ dwords AS (SELECT doc_id, regexp_extract_all(regexp_replace(lower(strip_accents(
 iwords AS (SELECT DISTINCT item_id, regexp_extract_all(regexp_replace(lower(strip_accents(text)), '[\x{0300}-\x{036F}]', '', 'g'), '[\p{L}\p{N}]+') AS w FROM eval_items),
 igrams AS (SELECT DISTINCT item_id, list_aggregate(w[i:i+9], 'string_agg', ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 8)) AS i FROM iwords)),
 dgrams AS (SELECT DISTINCT doc_id, list_aggregate(w[i:i+9], 'string_agg', ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 8)) AS i FROM dwords)),
-leaks AS (SELECT doc_id, item_id, count(*) AS windows FROM dgrams JOIN igrams USING (g) GROUP BY ALL)
+sizes AS (SELECT item_id, count(*) AS n FROM igrams GROUP BY ALL),
+leaks AS (SELECT doc_id, item_id, count(*) AS windows, round(count(*)::DOUBLE / any_value(n), 6) AS contained FROM dgrams JOIN igrams USING (g) JOIN sizes USING (item_id) GROUP BY ALL)
 """
 
 ORACLES = {
@@ -224,5 +226,5 @@ ORACLES = {
     "p6_frequencies": _FREQ + "SELECT term, occurrences, records, mark FROM marked",
     "p7_found": _UNITS + "SELECT x.a AS vec_id_a, x.b AS vec_id_b FROM top x JOIN top y ON x.a = y.b AND x.b = y.a WHERE x.a < x.b",
     "p9_found": _WORDS + "SELECT doc_id, item_id FROM leaks",
-    "p9_leaks": _WORDS + "SELECT doc_id, item_id, windows FROM leaks",
+    "p9_leaks": _WORDS + "SELECT doc_id, item_id, windows, contained FROM leaks",
 }
