@@ -26,8 +26,8 @@ def brute(rows):
     return out
 
 
-def check(spark, rows):
-    tree = hierarchy(spark.createDataFrame([(*r, 7) for r in rows], SCHEMA), ["doc_id"], "section_id", "parent_id")
+def check(spark, rows, task_nodes):
+    tree = hierarchy(spark.createDataFrame([(*r, 7) for r in rows], SCHEMA), ["doc_id"], "section_id", "parent_id", task_nodes)
     got = {(r.doc_id, r.section_id): r for r in tree.collect()}
     want = brute(rows)
     assert got.keys() == want.keys()
@@ -45,7 +45,8 @@ def check(spark, rows):
     assert pairs == {(k[0], k[1], n) for k, names in below.items() for _, n in names}
 
 
-def test_random_forests(spark):
+@pytest.mark.parametrize("task_nodes", [200_000, 45, 0])
+def test_random_forests(spark, task_nodes):
     rng = random.Random(5)
     rows = []
     for d in range(6):
@@ -53,14 +54,15 @@ def test_random_forests(spark):
         for i in range(n):
             p = rng.choice([None, "", " ", "gone", f"s{rng.randrange(n)}", f" S{rng.randrange(max(1, i))} ", f"s{max(0, i - 1)}"])
             rows.append((f"d{d}", f"s{i}", p))
-    check(spark, rows)
+    check(spark, rows, task_nodes)
 
 
-def test_deep_branch_wide_star_and_circles(spark):
+@pytest.mark.parametrize("task_nodes", [200_000, 0])
+def test_deep_branch_wide_star_and_circles(spark, task_nodes):
     rows = [("a", f"s{i}", f"s{i - 1}" if i else None) for i in range(70)]
     rows += [("b", "hub", None)] + [("b", f"x{i}", "HUB") for i in range(150)]
     rows += [("c", "p", "q"), ("c", "q", "r"), ("c", "r", "p"), ("c", "t", "q"), ("c", "u", "t"), ("c", "self", "self"), ("c", "ok", None)]
-    check(spark, rows)
+    check(spark, rows, task_nodes)
 
 
 @pytest.mark.parametrize("rows", [[], [(None, "a", None), (None, "b", "a"), ("", "b", "a"), ("d", None, "a"), ("d", "a", None)]])
