@@ -60,7 +60,8 @@ def test_without_judgements_and_without_documents(spark):
 
 
 def test_measures():
-    words, lengths, letters = measures("It is a test 3.5 long. Is it?")
+    (words, lengths, letters), nothing = measures(["It is a test 3.5 long. Is it?", None])
+    assert nothing == ([], [], 0)
     assert words == ["it", "is", "a", "test", "long", "is", "it"] and lengths == [6, 2] and letters == 17
     assert 0 <= word_code("word") < BUCKETS < length_code(1) < length_code(4095) < length_code(4096) == length_code(8191) < length_code(10**9)
 

@@ -55,14 +55,18 @@ MEASURES = "n_words bigint, words_per_sentence double, letters_per_word double"
 ITEMS = "codes array<int>, tf array<float>, forms array<float>"
 
 
-def measures(text: str) -> tuple[list[str], list[int], int]:
-    """Lower-case runs of letters; the words between blanks of each sentence; letters."""
-    runs = LETTERS.findall(text)
-    lengths, at = [], 0
-    for e in sentence_ends([text])[0]:
-        lengths.append(len(text[at:e].split()))
-        at = e
-    return [w.lower() for w in runs], lengths, sum(map(len, runs))
+def measures(texts: Sequence[str | None]) -> Iterator[tuple[list[str], list[int], int]]:
+    """For each text its lower-case runs of letters; the words between blanks of each sentence; letters."""
+    for text, ends in zip(texts, sentence_ends(texts), strict=True):
+        if not text:
+            yield [], [], 0
+            continue
+        lengths, at = [], 0
+        for e in ends:
+            lengths.append(len(text[at:e].split()))
+            at = e
+        runs = LETTERS.findall(text)
+        yield [w.lower() for w in runs], lengths, sum(map(len, runs))
 
 
 def word_code(word: str) -> int:
@@ -101,8 +105,8 @@ def item_table(corpus: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
             codes, tf, forms, sizes, counts, lengths_, letters_ = [], [], [], [0], [], [], []
             if len(known) > KNOWN_WORDS:
                 known.clear()
-            for t in column.to_pylist():
-                words, lengths, letters = measures(t) if t else ([], [], 0)
+            texts = column.to_pylist()
+            for t, (words, lengths, letters) in zip(texts, measures(texts), strict=True):
                 for w, c in Counter(words).items():
                     code = known.get(w)
                     if code is None:

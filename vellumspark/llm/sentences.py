@@ -14,6 +14,7 @@ chunks are read again from the states that come out.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator, Sequence
 
@@ -150,6 +151,7 @@ SYMBOL = compiled()
 def functions_before(symbols: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
     """For each symbol and each state at the beginning the state before the symbol; and the function of all symbols. Composed in blocks, with a prefix scan over the blocks."""
     n = len(symbols)
+    block = max(1, min(block, math.isqrt(n)))
     rows = -(-n // block)
     maps = np.broadcast_to(np.arange(4, dtype=np.uint8), (rows * block, 4)).copy()
     maps[:n] = NEXT[symbols]
