@@ -13,14 +13,16 @@ from vellumspark.functions.stopwords import (
     AFFILIATIONS,
     CUES,
     FIRST_PAGE_ADDRESSES,
+    GENERAL_STOPWORDS,
     MATH_SIGNS,
     METADATA_TERMS,
     NO_PROSE_STARTS,
-    SEARCH_STOPWORDS,
 )
 from vellumspark.functions.text import WORD, WS, collapse_ws, word_count
 
 _MARK = "\x01"
+#: What a language model may add: a token's lemma, whether a sentence has a verb, a text's sentences. Columns, of built-in functions or an Arrow UDF (not inside an array function then; see functions.annotate).
+Lemma = Verb = Split = Callable[[Column], Column]
 
 
 def any_of(conditions: Sequence[Column]) -> Column:
@@ -37,7 +39,7 @@ def segment(text: Column) -> Column:
     return F.coalesce(F.filter(F.transform(parts, collapse_ws), lambda s: s != ""), F.array().cast("array<string>"))
 
 
-def is_prose(sentence: Column, has_verb: Callable[[Column], Column] | None = None) -> Column:
+def is_prose(sentence: Column, has_verb: Verb | None = None) -> Column:
     """Whether a sentence is prose: 3 to 65 words, mostly letters, a capital first, no reference to figures, no mathematics.
 
     `has_verb` takes the sentence to a boolean Column of a tagger; without one every sentence has a verb.
@@ -50,9 +52,9 @@ def is_prose(sentence: Column, has_verb: Callable[[Column], Column] | None = Non
     return F.coalesce(good & (has_verb(sentence) if has_verb else F.lit(True)), F.lit(False))
 
 
-def prose_sentences(text: Column) -> Column:
-    """The prose sentences of a text, in order."""
-    return F.filter(segment(text), lambda s: is_prose(s))
+def prose_sentences(text: Column, has_verb: Verb | None = None, split: Split = segment) -> Column:
+    """The prose sentences of a text, in order. `split` takes a text to its sentences."""
+    return F.filter(split(text), lambda s: is_prose(s, has_verb))
 
 
 def is_acknowledgement(sentence: Column) -> Column:
@@ -75,7 +77,7 @@ def is_reference_title(title: Column) -> Column:
     return F.coalesce(F.lower(title).rlike(rf"(?<![{WORD}])(?:references?|bibliography|works cited)(?![{WORD}])"), F.lit(False))
 
 
-def without_stopwords(tokens: Column, stopwords: Sequence[str] = SEARCH_STOPWORDS) -> Column:
+def without_stopwords(tokens: Column, stopwords: Sequence[str] = GENERAL_STOPWORDS) -> Column:
     """Tokens whose lower case is no stop word, repeats kept."""
     return F.filter(tokens, lambda t: ~F.lower(t).isin(*stopwords))
 
@@ -85,14 +87,17 @@ def word_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(rf"[{WORD}]+"), F.lit(0))
 
 
-def is_content(token: Column, stopwords: Sequence[str] = SEARCH_STOPWORDS) -> Column:
+def is_content(token: Column, stopwords: Sequence[str] = GENERAL_STOPWORDS) -> Column:
     """Neither a single character nor a stop word."""
     return (F.length(token) > 1) & ~token.isin(*stopwords)
 
 
-def lemmas(text: Column, stopwords: Sequence[str] = SEARCH_STOPWORDS) -> Column:
-    """Content tokens by rule, in lower case; a token is its own lemma."""
-    return F.coalesce(F.filter(word_tokens(text), lambda t: is_content(t, stopwords)), F.array().cast("array<string>"))
+def lemmas(text: Column, stopwords: Sequence[str] = GENERAL_STOPWORDS, lemma: Lemma | None = None) -> Column:
+    """Lemmas of the content tokens, in lower case; without `lemma` a token is its own."""
+    tokens = F.filter(word_tokens(text), lambda t: is_content(t, stopwords))
+    if lemma:
+        tokens = F.filter(F.transform(tokens, lambda t: F.lower(lemma(t))), lambda t: F.length(t) > 1)
+    return F.coalesce(tokens, F.array().cast("array<string>"))
 
 
 def is_keyword(term: Column, least: int = 3) -> Column:

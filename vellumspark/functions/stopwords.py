@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-# Stop words of the lexical search; also the default of the other operators that take a list.
+# Stop words of the lexical search, which end in words that queries about papers begin with.
 SEARCH_STOPWORDS = tuple(
     """
     a about above after again against all am an and any are as at be because been before being below between both but by
@@ -14,6 +14,27 @@ SEARCH_STOPWORDS = tuple(
     """.split()
 )
 
+# Words of the search list that are no general stop words.
+SEARCH_ONLY = tuple("having s t theirs tell explain describe paper model show find".split())
+# Further general English stop words.
+GENERAL_ONLY = tuple(
+    """
+    across afterwards almost alone along already also although always among amongst amount another anyhow anyone anything
+    anyway anywhere around back became become becomes becoming beforehand behind beside besides beyond bottom ca call cannot
+    could done due eight either eleven else elsewhere empty enough even ever every everyone everything everywhere except
+    fifteen fifty first five former formerly forty four front full get give go hence hereafter hereby herein hereupon however
+    hundred indeed keep last latter latterly least less made make many may meanwhile might mine moreover mostly move much must
+    name namely neither never nevertheless next nine nobody none noone nothing nowhere often one onto others otherwise part
+    per perhaps please put quite rather re really regarding say see seem seemed seeming seems serious several show side since
+    six sixty somehow someone something sometime sometimes somewhere still take ten thence thereafter thereby therefore
+    therein thereupon third though three throughout thru thus together top toward towards twelve twenty two unless upon us
+    used using various via well whatever whence whenever whereafter whereas whereby wherein whereupon wherever whether whither
+    whoever whole whose within without yet
+    """.split()
+)
+#: Stop words of keywords, summaries and term statistics.
+GENERAL_STOPWORDS = tuple(sorted({*SEARCH_STOPWORDS} - {*SEARCH_ONLY} | {*GENERAL_ONLY}))
+
 # Terms that are no keywords.
 METADATA_TERMS = tuple("arxiv preprint doi http https et al figure table fig author university google department research equal contribution email".split())
 

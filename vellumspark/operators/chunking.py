@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellumspark.functions.prose import is_reference_title, segment
+from vellumspark.functions.prose import Split, is_reference_title, segment
 from vellumspark.functions.text import clean_text, token_estimate, word_count
 
 BOUNDS = "array<struct<first:int,end:int,tail:int>>"
@@ -72,25 +72,29 @@ def section_runs(blocks: DataFrame, sections: DataFrame, least_words: int = 3) -
     return rows.withColumn("section_id", first["section_id"]).select("doc_id", "run", "section_title", "section_id", "ordinal", "block_id", "page_number", "text")
 
 
-def sentence_units(runs: DataFrame) -> DataFrame:
+def sentence_units(runs: DataFrame, split: Split = segment) -> DataFrame:
     """doc_id, run, section_title, section_id, parent, units: the sentences of each run in order, and its whole text."""
     block = F.array_sort(F.collect_list(F.struct("ordinal", "block_id", "page_number", "text")))
     grouped = runs.groupBy("doc_id", "run").agg(F.first("section_title").alias("section_title"), F.first("section_id").alias("section_id"), block.alias("_blocks"))
-    unit = lambda b: F.transform(segment(b["text"]), lambda s: F.struct(s.alias("text"), token_estimate(s).cast("int").alias("tokens"), b["page_number"].alias("page"), b["block_id"].alias("block")))
+    unit = lambda b: F.transform(split(b["text"]), lambda s: F.struct(s.alias("text"), token_estimate(s).cast("int").alias("tokens"), b["page_number"].alias("page"), b["block_id"].alias("block")))
     return grouped.select("doc_id", "run", "section_title", "section_id", F.array_join(F.transform("_blocks", lambda b: b["text"]), " ").alias("parent"), F.flatten(F.transform("_blocks", unit)).alias("units"))
 
 
-def chunk_documents(blocks: DataFrame, sections: DataFrame, papers: DataFrame, config: ChunkingConfig = ChunkingConfig()) -> DataFrame:
+def chunk_documents(blocks: DataFrame, sections: DataFrame, papers: DataFrame, config: ChunkingConfig = ChunkingConfig(), split: Split = segment, with_parent: bool = True) -> DataFrame:
     """The chunks of all documents.
 
     `papers` has doc_id, paper_id, title. A run of blocks is put together in one row, as its text is a column of its
-    chunks (parent_section_text). Only the boundaries come from Python; texts stay in the JVM.
+    chunks (parent_section_text, null without `with_parent`). Only the boundaries come from Python; texts stay in the JVM.
+    `split` takes a text to its sentences.
     """
-    units = sentence_units(section_runs(blocks, sections)).where(F.size("units") > 0)
+    units = sentence_units(section_runs(blocks, sections), split).where(F.size("units") > 0)
     cut = units.withColumn("_bounds", _bounds_column(F.transform("units", lambda u: u["tokens"]), config))
-    rows = cut.select("doc_id", "run", "section_title", "section_id", "parent", "units", F.posexplode_outer("_bounds").alias("_n", "_b")).where("_b is not null")  # outer: no filter on the function is inferred below it
-    own = F.concat(F.slice("units", F.col("_b.first") + 1, F.col("_b.end") - F.col("_b.first")), F.slice("units", F.col("_b.tail") + 1, F.greatest(F.size("units") - F.col("_b.tail"), F.lit(0))))
-    rows = rows.select("doc_id", "run", "section_title", "section_id", "parent", "_n", own.alias("_own"), "_b")
+    # each chunk's own sentences are taken out before rows are made, so that no chunk carries its whole section
+    own = lambda b: F.concat(F.slice("units", b["first"] + 1, b["end"] - b["first"]), F.slice("units", b["tail"] + 1, F.greatest(F.size("units") - b["tail"], F.lit(0))))
+    parent = F.col("parent") if with_parent else F.lit(None).cast("string").alias("parent")
+    chunks = F.transform("_bounds", lambda b: F.struct(b.alias("b"), own(b).alias("own")))
+    rows = cut.select("doc_id", "run", "section_title", "section_id", parent, F.posexplode_outer(chunks).alias("_n", "_c")).where("_c is not null")  # outer: no filter on the function is inferred below it
+    rows = rows.select("doc_id", "run", "section_title", "section_id", "parent", "_n", F.col("_c.own").alias("_own"), F.col("_c.b").alias("_b"))
     rows = rows.join(papers.select("doc_id", "paper_id", F.col("title").alias("paper_title")), "doc_id", "left")
     text = F.array_join(F.transform("_own", lambda u: u["text"]), " ")
     pages = F.array_sort(F.array_distinct(F.transform("_own", lambda u: u["page"])))

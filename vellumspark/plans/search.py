@@ -34,7 +34,7 @@ def q_section_islands(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _made(spark: SparkSession, d: str) -> DataFrame:
-    return chunking.chunk_documents(blocks(spark, d), sections(spark, d), papers(spark, d))
+    return chunking.chunk_documents(blocks(spark, d), sections(spark, d), papers(spark, d), with_parent=False)
 
 
 def q_chunk_bounds(spark: SparkSession, d: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellumspark.functions.prose import lemmas
-from vellumspark.functions.stopwords import ACKNOWLEDGEMENTS, AFFILIATIONS, CUES, EXCLUDED_SECTIONS, FIRST_PAGE_ADDRESSES, MATH_SIGNS, METADATA_TERMS, NO_PROSE_STARTS, SEARCH_STOPWORDS, SUMMARY_SECTIONS
+from vellumspark.functions.stopwords import ACKNOWLEDGEMENTS, AFFILIATIONS, CUES, EXCLUDED_SECTIONS, FIRST_PAGE_ADDRESSES, GENERAL_STOPWORDS, MATH_SIGNS, METADATA_TERMS, NO_PROSE_STARTS, SUMMARY_SECTIONS
 from vellumspark.functions.text import search_terms
 from vellumspark.operators import keywords as kw
 from vellumspark.operators import summary
@@ -83,7 +83,7 @@ QUERIES = {name[2:]: f for name, f in list(globals().items()) if name.startswith
 
 
 def _lemmas(text: str) -> str:
-    return f"list_filter({c.sql_tokens(f'lower({text})')}, lambda t: length(t) > 1 AND t NOT IN {c.sql_list(SEARCH_STOPWORDS)})"
+    return f"list_filter({c.sql_tokens(f'lower({text})')}, lambda t: length(t) > 1 AND t NOT IN {c.sql_list(GENERAL_STOPWORDS)})"
 
 
 _TF = f"""WITH {c.SQL_CHUNKS}, tok AS (SELECT chunk_id, {_lemmas('content_text')} AS tokens FROM chk),

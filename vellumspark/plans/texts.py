@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from vellumspark.functions import metadata as md
 from vellumspark.functions.headings import heading_level, heading_number
 from vellumspark.functions.prose import is_acknowledgement, is_header_noise, is_prose, is_reference_title, segment, without_stopwords
-from vellumspark.functions.stopwords import ACKNOWLEDGEMENTS, AFFILIATIONS, FIRST_PAGE_ADDRESSES, MATH_SIGNS, NO_PROSE_STARTS, SEARCH_STOPWORDS
+from vellumspark.functions.stopwords import ACKNOWLEDGEMENTS, AFFILIATIONS, FIRST_PAGE_ADDRESSES, GENERAL_STOPWORDS, MATH_SIGNS, NO_PROSE_STARTS
 from vellumspark.functions.text import clean_text, preprocess, search_terms, token_estimate, tokenize
 from vellumspark.operators.enrichment import enrich, match_titles, title_or_first_block
 from vellumspark.plans import common as c
@@ -115,7 +115,7 @@ QUERIES = {name[2:]: f for name, f in list(globals().items()) if name.startswith
 ORACLES = {
     "clean_text": f"WITH {c.SQL_BLOCKS} SELECT doc_id, block_id, {c.sql_clean('text')} AS cleaned FROM blk",
     "normalize_tokens": f"WITH {c.SQL_CHUNKS} SELECT chunk_id, array_to_string({c.sql_tokens('lower(content_text)')}, ' ') AS tokens FROM chk",
-    "stopword_filter": f"WITH {c.SQL_CHUNKS} SELECT chunk_id, array_to_string(list_filter({c.sql_tokens('content_text')}, lambda t: lower(t) NOT IN {c.sql_list(SEARCH_STOPWORDS)}), ' ') AS tokens FROM chk",
+    "stopword_filter": f"WITH {c.SQL_CHUNKS} SELECT chunk_id, array_to_string(list_filter({c.sql_tokens('content_text')}, lambda t: lower(t) NOT IN {c.sql_list(GENERAL_STOPWORDS)}), ' ') AS tokens FROM chk",
     "bm25_tokenize": f"WITH {c.SQL_CHUNKS} SELECT chunk_id, array_to_string({c.sql_terms('embed_text')}, ' ') AS terms FROM chk",
     "token_estimate": f"WITH {c.SQL_CHUNKS} SELECT chunk_id, {c.sql_estimate('content_text')} AS tokens FROM chk",
     "sentence_split": _SENTENCES + " SELECT chunk_id, n::BIGINT AS n, sentence FROM sent",
