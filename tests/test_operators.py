@@ -97,11 +97,40 @@ def test_bm25(spark):
     assert twice == pytest.approx(2 * hits[0].score, abs=1e-3)
 
 
-def test_bm25_index_written_and_read(spark, tmp_path):
+def scores_of(index, chunks, query):
+    return [(r.chunk_id, r.score) for r in bm25.search(index, chunks, query).orderBy("rank").collect()]
+
+
+def test_bm25_kept_in_segments(spark, tmp_path):
     chunks = chunk_table(spark)
-    bm25.BM25Index.build(chunks).write(str(tmp_path))
-    again = bm25.BM25Index.read(spark, str(tmp_path))
-    assert bm25.search(again, chunks, "dense decoder").first().chunk_id == "b"
+    kept = bm25.StoredBM25(spark, str(tmp_path / "i"))
+    kept.fit(chunks)
+    fresh = lambda df: bm25.BM25Index.build(df)
+    same = lambda df: all(scores_of(kept.index(), df, q) == scores_of(fresh(df), df, q) for q in ("dense decoder", "encoder encoder", "WMT-14", "brand new"))
+    assert same(chunks)
+    # another chunk, an empty one, and one that is there already with another text
+    more = spark.createDataFrame([("n", "brand new encoder text"), ("e", ""), ("z", None), ("a", "dense dense decoder")], "chunk_id string, embed_text string")
+    kept.add(more)
+    now = more.unionByName(chunks.where("chunk_id <> 'a'").select("chunk_id", "embed_text"))
+    assert same(now) and kept.index().corpus.first().n_chunks == now.count()
+    kept.add(more)
+    assert same(now)
+    assert kept.remove(spark.createDataFrame([("n",), ("gone",)], "chunk_id string")) == 1
+    now = now.where("chunk_id <> 'n'")
+    assert same(now)
+    kept.compact()
+    assert same(now) and len(list((tmp_path / "i" / "postings").glob("segment=*"))) == 1
+    kept.fit(chunks)
+    assert same(chunks)
+
+
+def test_bm25_queries_with_filters_of_their_own(spark):
+    chunks = chunk_table(spark)
+    asked = spark.createDataFrame([(1, "encoder", None, None, None), (2, "encoder", "p1", None, None), (3, "encoder", "", 3, 5), (4, "encoder", "none", None, None)], "query_id int, query_text string, filter_paper_id string, min_page int, max_page int")
+    got = {}
+    for r in bm25.search_each(bm25.BM25Index.build(chunks), chunks, asked).collect():
+        got.setdefault(r.query_id, []).append(r.chunk_id)
+    assert {k: sorted(v) for k, v in got.items()} == {1: ["a", "b"], 2: ["a"], 3: ["b"]}
 
 
 def test_fusion_rerank_and_assembly(spark):
@@ -132,6 +161,26 @@ def test_dense_search_and_filters(spark):
     assert SearchFilter(paper_id="a").scoped("b").paper_id == "b"
     queries = spark.createDataFrame([(1, [0.0, 1.0, 0.0, 0.0])], "query_id int, query_vector array<double>")
     assert dense.nearest_to_each(rows, queries, 1, "block_id").first().block_id == "b2"
+    odd = rows.select("block_id", "embedding").union(spark.createDataFrame([("n", None), ("s", [1.0]), ("q", [None, 1.0, 0.0, 0.0]), ("i", [float("nan"), 0.0, 0.0, 0.0]), ("b0", [0.0, 2.0, 0.0, 0.0])], "block_id string, embedding array<double>"))
+    asked = queries.union(spark.createDataFrame([(2, None), (3, [0.0] * 4)], "query_id int, query_vector array<double>"))
+    for parts in (1, 50_000):
+        got = [(r.query_id, r.block_id, r.score) for r in dense.nearest_to_each(odd, asked, 3, "block_id", part_rows=parts, part_queries=parts).orderBy("query_id", "rank").collect()]
+        assert got == [(1, "b0", 1.0), (1, "b2", 1.0), (1, "b1", 0.0), (3, "b0", 0.0), (3, "b1", 0.0), (3, "b2", 0.0)]
+    assert dense.nearest_to_each(rows.limit(0), queries, 1, "block_id").count() == 0
+
+
+def test_nearest_to_a_text_and_best_sentence(spark):
+    embed = lambda c: F.array(F.length(c).cast("double"), F.lit(1.0))
+    rows = spark.createDataFrame([("b1", [4.0, 1.0], None, None), ("b2", [1.0, 9.0], "p2", 7)], "block_id string, embedding array<double>, paper_id string, page_number int")
+    near = dense.nearest_to_text(rows, "four", embed).collect()
+    assert [(r.block_id, r.paper_id, r.page_number) for r in near] == [("b1", "unknown", 1), ("b2", "p2", 7)]
+    assert dense.nearest_to_text(rows, " ", embed).count() == 0
+    # a filter is used instead of a where
+    assert [r.block_id for r in dense.nearest_to_text(rows, "four", embed, where={"paper_id": "none"}, search_filter=SearchFilter(min_page=5)).collect()] == ["b2"]
+    assert [r.block_id for r in dense.nearest_to_text(rows, "four", embed, where={"paper_id": "p2"}).collect()] == ["b2"]
+    sentences = spark.createDataFrame([(1, [0.0, 0.0]), (2, [1.0, 1.0]), (3, [3.0, 3.0]), (None, [1.0, 1.0])], "id int, vector array<double>")
+    asked = spark.createDataFrame([("x", [1.0, 1.0]), ("y", [0.0, 0.0])], "query_id string, query_vector array<double>")
+    assert {(r.query_id, r.id, r.similarity) for r in dense.best_sentence(sentences, asked).collect()} == {("x", 2, 1.0), ("y", 1, 0.0)}
 
 
 def test_store(spark, tmp_path):
@@ -143,6 +192,18 @@ def test_store(spark, tmp_path):
     kept.upsert(make([("a", "p", 2), ("c", None, 1)]))
     assert sorted((r.id, r.v) for r in kept.read().collect()) == [("a", 2), ("b", 1), ("c", 1)]
     assert kept.delete_paper("p") == 1 and kept.delete_paper("p") == 0 and kept.read().count() == 2
+    # a write touches the buckets of its keys alone, and files that nothing names are gone
+    kept.clear()
+    kept.upsert(make([(str(i), "p", 1) for i in range(200)]))
+    before = kept._state()[1]
+    kept.upsert(make([("7", "p", 2)]))
+    after = kept._state()[1]
+    assert sum(before[k] != after[k] for k in before) == 1 and kept.read().count() == 200
+    kept.upsert(make([]))
+    for v in range(4):
+        kept.upsert(make([("7", "p", v)]))
+    assert len(kept._numbers()) == 2 and set(kept._names("data")) == {v for n in kept._numbers() for v in kept._manifest(n).values()}
+    assert kept.remove(make([("7", "p", 0), ("8", "p", 0), ("no", "p", 0)]).select("id")) == 2 and kept.read().count() == 198
     kept.clear()
     assert kept.read().count() == 0
     table = spark.createDataFrame([("p", 1, "S", {"title": "T", "x": None}), ("p", 2, None, None)], "paper_id string, page_number int, section_title string, metadata map<string,string>")

@@ -4,42 +4,47 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellumspark.functions.vectors import cosine
-from vellumspark.operators import bm25, hybrid
+from vellumspark.operators import bm25, dense, hybrid
 from vellumspark.operators.chunking import primary_page
 from vellumspark.operators.embedding import Embedder, embed, hashing_embedder
 from vellumspark.operators.filters import SearchFilter
 from vellumspark.operators.store import Collection
-from vellumspark.tables import current_rows
+from vellumspark.tables import current_rows, measured, written
 
 SCHEMA = "chunk_id string, content_text string, embed_text string, paper_id string, paper_title string, section_title string, section_id string, page_numbers array<int>, is_reference boolean, parent_section_text string, page_number int, embedding array<float>, indexed_at timestamp"
 
 
 class HybridSearchEngine:
-    """One table feeds both retrievers, so they cannot drift apart: vectors are a column, lexical statistics are derived.
+    """A table of chunks with their vectors, and a lexical index of the same chunks.
 
-    `make_embedder` and `scorer` plug models in; without a scorer nothing is reranked.
+    `make_embedder` and `scorer` plug models in; without a scorer nothing is reranked. The lexical index lies beside the
+    collection's folder unless one is given.
     """
 
-    def __init__(self, collection: Collection, make_embedder: Callable[[], Embedder] = hashing_embedder, scorer: Callable[[Column, Column], Column] | None = None):
+    def __init__(self, collection: Collection, make_embedder: Callable[[], Embedder] = hashing_embedder, scorer: Callable[[Column, Column], Column] | None = None, lexical: bm25.StoredBM25 | None = None):
         self.collection, self.make_embedder, self.scorer = collection, make_embedder, scorer
+        self.lexical = lexical or bm25.StoredBM25(collection.spark, f"{collection.folder}-lexical")
 
-    def index(self, chunks: DataFrame) -> None:
-        """Embeds and upserts chunks; of rows with one chunk_id the latest holds. The vectors are made before anything is written."""
+    def index(self, chunks: DataFrame) -> int:
+        """Embeds and upserts chunks and adds them to the lexical index; of rows with one chunk_id the latest holds. The vectors are made before anything is written. How many chunks there were."""
         rows = chunks.withColumn("page_number", primary_page(F.col("page_numbers"))).withColumn("embedding", embed(F.col("embed_text"), self.make_embedder))
         have = [c.split(" ")[0] for c in SCHEMA.split(", ")]
         for c in have:
             if c not in rows.columns:
                 rows = rows.withColumn(c, F.lit(None))
         kinds = dict(self.collection.read().dtypes)
-        self.collection.upsert(current_rows(rows.select(*[F.col(c).cast(kinds[c]).alias(c) for c in have]), ["chunk_id"], "indexed_at"))
+        ready, seen = measured(current_rows(rows.select(*[F.col(c).cast(kinds[c]).alias(c) for c in have]), ["chunk_id"], "indexed_at"), n=F.count(F.lit(1)))
+        self.collection.upsert(ready)
+        self.lexical.add(ready.select("chunk_id", "embed_text"))
+        return seen["n"]
 
     def delete_paper(self, paper_id: str) -> int:
-        """Number of chunks that are gone from both retrievers."""
-        return self.collection.delete_paper(paper_id)
+        """Number of chunks that are gone from either of the two, the greater one."""
+        gone = written(self.collection.read().where(F.col("paper_id") == paper_id).select("chunk_id"))
+        return max(self.collection.remove(gone), self.lexical.remove(gone))
 
     def search(
         self,
@@ -65,14 +70,12 @@ class HybridSearchEngine:
         rows = self.collection.read()
         asked = queries.where(F.trim("query_text") != "").select("query_id", "query_text")
         chosen = (search_filter or SearchFilter()).scoped(filter_paper_id)
-        near = asked.select("query_id", embed(F.col("query_text"), self.make_embedder).alias("_q"))
-        pairs = rows.where(chosen.on_page()).select("chunk_id", "embedding").crossJoin(near).select("query_id", "chunk_id", F.round(cosine(F.col("embedding"), F.col("_q")), 4).alias("score"))
-        order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "chunk_id")
-        dense = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= pool)
-        scores = bm25.score_queries(bm25.BM25Index.build(rows), asked)
-        sparse = bm25.rank_hits(scores.join(rows.where(chosen.on_pages()).select("chunk_id"), "chunk_id", "left_semi"), pool)
+        near = asked.select("query_id", embed(F.col("query_text"), self.make_embedder).alias("query_vector"))
+        dense_hits = dense.nearest_to_each(rows.where(chosen.on_page()).select("chunk_id", "embedding"), near, pool)
+        allowed = rows.where(chosen.on_pages()) if chosen != SearchFilter() else None
+        sparse = bm25.rank_hits(bm25.score_queries(self.lexical.index(), asked, allowed=allowed), pool)
         use = rerank and self.scorer is not None
-        fused = hybrid.fuse(dense, sparse, rrf_k, dense_weight, sparse_weight, pool).where(F.col("position") <= (max(top_k, rerank_pool) if use else max(top_k, 0)))
+        fused = hybrid.fuse(dense_hits, sparse, rrf_k, dense_weight, sparse_weight, pool).where(F.col("position") <= (max(top_k, rerank_pool) if use else max(top_k, 0)))
         full = hybrid.assemble(fused, rows.drop("embedding", "indexed_at")).join(asked, "query_id")
         if use:
             return hybrid.rerank(full, top_k, self.scorer)

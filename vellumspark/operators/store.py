@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellumspark.functions.metadata import flatten_metadata
+from vellumspark.tables import current_rows, written
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -47,40 +50,107 @@ def prepare_blocks(blocks: DataFrame, paper_title: str | None = None) -> DataFra
 
 
 class Collection:
-    """A table kept in numbered versions below a folder: a write makes the next version, readers see the last complete one.
+    """A table kept below a folder in buckets by key. A write makes new files for the buckets that it touches and then a manifest that names the files of every bucket; readers see the last complete manifest.
 
-    A lost executor or a stopped write leaves the last version as it was. `keys` identify a row.
+    A lost executor or a stopped write leaves the last state as it was. `keys` identify a row. One writer at a time. Files
+    that only manifests older than the last `kept` ones name are removed after a write.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, schema: str, keys: Sequence[str]):
-        self.spark, self.folder, self.schema, self.keys = spark, folder.rstrip("/"), schema, list(keys)
+    def __init__(self, spark: SparkSession, folder: str, schema: str, keys: Sequence[str], buckets: int = 16, kept: int = 2):
+        self.spark, self.folder, self.schema, self.keys, self.buckets, self.kept = spark, folder.rstrip("/"), schema, list(keys), buckets, kept
 
-    def _versions(self) -> list[int]:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.folder)
-        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(path):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(path)]
-        return sorted(int(n[2:]) for n in names if n.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{n}/_SUCCESS")))
+    def _fs(self, path: str):
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()), where
 
-    def read(self) -> DataFrame:
-        versions = self._versions()
-        return self.spark.read.schema(self.schema).parquet(f"{self.folder}/v={versions[-1]}") if versions else self.spark.createDataFrame([], self.schema)
+    def _names(self, folder: str) -> list[str]:
+        fs, path = self._fs(f"{self.folder}/{folder}")
+        return [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
 
-    def _write(self, df: DataFrame) -> None:
-        versions = self._versions()
-        df.write.mode("overwrite").parquet(f"{self.folder}/v={(versions[-1] if versions else 0) + 1}")
+    def _manifest(self, number: int) -> dict[str, str]:
+        """Bucket to the folder that holds it."""
+        lines = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils
+        fs, path = self._fs(f"{self.folder}/manifests/{number}.json")
+        stream = fs.open(path)
+        try:
+            return json.loads(lines.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
 
-    def upsert(self, rows: DataFrame) -> None:
-        self._write(upsert(self.read(), rows, self.keys))
+    def _numbers(self) -> list[int]:
+        return sorted(int(n[:-5]) for n in self._names("manifests") if n.endswith(".json") and n[:-5].isdigit())
 
-    def delete_paper(self, paper_id: str) -> int:
-        table = self.read()
-        n = table.where(F.col("paper_id") == paper_id).count()
+    def _state(self) -> tuple[int, dict[str, str]]:
+        numbers = self._numbers()
+        return (numbers[-1], self._manifest(numbers[-1])) if numbers else (0, {})
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
+
+    def _read(self, state: dict[str, str], buckets: Sequence[int] | None = None) -> DataFrame:
+        paths = sorted({f"{self.folder}/data/{v}/bucket={k}" for k, v in state.items() if buckets is None or int(k) in buckets})
+        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
+
+    def read(self) -> DataFrame:
+        return self._read(self._state()[1])
+
+    def _write(self, rows: DataFrame, touched: Sequence[int] | None) -> None:
+        """`rows` are all rows of the `touched` buckets (None: of all)."""
+        number, state = self._state()
+        version = uuid.uuid4().hex
+        names = [f.name for f in rows.sparkSession.createDataFrame([], self.schema).schema]
+        rows.select(*names).withColumn("bucket", self._bucket()).repartition("bucket").write.partitionBy("bucket").parquet(f"{self.folder}/data/{version}")
+        made = {n.split("=")[1]: version for n in self._names(f"data/{version}") if n.startswith("bucket=")}
+        state = {k: v for k, v in state.items() if touched is not None and int(k) not in touched} | made
+        fs, path = self._fs(f"{self.folder}/manifests/.{version}")
+        stream = fs.create(path)
+        stream.write(bytearray(json.dumps(state).encode()))
+        stream.close()
+        if not fs.rename(path, self._fs(f"{self.folder}/manifests/{number + 1}.json")[1]):
+            raise RuntimeError("another writer was faster")
+        self._forget()
+
+    def _forget(self) -> None:
+        numbers = self._numbers()
+        used = {v for n in numbers[-self.kept :] for v in self._manifest(n).values()}
+        for n in numbers[: -self.kept]:
+            fs, path = self._fs(f"{self.folder}/manifests/{n}.json")
+            fs.delete(path, False)
+        for v in self._names("data"):
+            if v not in used:
+                fs, path = self._fs(f"{self.folder}/data/{v}")
+                fs.delete(path, True)
+
+    def _touched(self, keys: DataFrame) -> list[int]:
+        return sorted(r[0] for r in keys.select(self._bucket().alias("b")).distinct().collect())
+
+    def upsert(self, rows: DataFrame) -> None:
+        """Rows with each key once; of the buckets that hold none of the keys nothing is read or written."""
+        rows = written(rows)
+        touched = self._touched(rows)
+        if touched:
+            self._write(upsert(self._read(self._state()[1], touched), rows, self.keys), touched)
+
+    def merge(self, rows: DataFrame, ts: str) -> None:
+        """Rows with repeated keys; of those and of what is there the latest by `ts` holds."""
+        rows = written(current_rows(rows, self.keys, ts))
+        touched = self._touched(rows)
+        if touched:
+            old = self._read(self._state()[1], touched)
+            self._write(current_rows(old.unionByName(rows.select(*old.columns)), self.keys, ts), touched)
+
+    def remove(self, keys: DataFrame) -> int:
+        """Without the rows of these keys; how many there were."""
+        keys = written(keys.select(*self.keys).distinct())
+        touched = self._touched(keys)
+        table = self._read(self._state()[1], touched)
+        n = table.join(keys, self.keys, "left_semi").count()
         if n:
-            self._write(delete_paper(table, paper_id))
+            self._write(table.join(keys, self.keys, "left_anti"), touched)
         return n
 
+    def delete_paper(self, paper_id: str) -> int:
+        return self.remove(self.read().where(F.col("paper_id") == paper_id))
+
     def clear(self) -> None:
-        self._write(self.spark.createDataFrame([], self.schema))
+        self._write(self.spark.createDataFrame([], self.schema), None)

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellumspark.functions.stopwords import SEARCH_STOPWORDS
 from vellumspark.functions.vectors import cosine, is_usable
 from vellumspark.operators import bm25, chunking, dense, hybrid, store
-from vellumspark.operators.embedding import embed
+from vellumspark.operators.engine import SCHEMA, HybridSearchEngine
 from vellumspark.operators.filters import SearchFilter, compile_where
 from vellumspark.plans import common as c
 from vellumspark.plans.common import blocks, chunks, embedded, papers, search_queries, sections
@@ -20,8 +21,17 @@ from vellumspark.tables import current_rows, ensure_checkpoint_dir, load
 USABLE_DIM = 64
 
 
+_INDEXES: dict[tuple[str, str], bm25.StoredBM25] = {}
+
+
 def _index(spark: SparkSession, d: str) -> bm25.BM25Index:
-    return bm25.BM25Index.build(chunks(spark, d, "embed_text"))
+    """The lexical index of a folder's chunks, built by the first query of a session that needs it and read by all."""
+    name = spark.sparkContext.applicationId, d
+    if name not in _INDEXES:
+        stored = bm25.StoredBM25(spark, f"{ensure_checkpoint_dir(spark)}/vellum-bm25-{uuid.uuid4().hex}")
+        stored.fit(chunks(spark, d, "embed_text"))
+        _INDEXES[name] = stored
+    return _INDEXES[name].index()
 
 
 def _usable(spark: SparkSession, d: str, *payload: str) -> DataFrame:
@@ -70,19 +80,9 @@ def q_bm25_batch(spark: SparkSession, d: str) -> DataFrame:
     return bm25.rank_hits(bm25.score_queries(_index(spark, d), search_queries(spark, d)))
 
 
-def _filtered(spark: SparkSession, d: str) -> DataFrame:
-    """Queries with their own filters: some page of the chunk reaches each bound."""
-    scores = bm25.score_queries(_index(spark, d), search_queries(spark, d))
-    filters = search_queries(spark, d).select("query_id", "filter_paper_id", "min_page", "max_page")
-    meta = chunks(spark, d, "paper_id", "page_numbers")
-    some = F.coalesce(F.exists("page_numbers", lambda p: p >= F.col("min_page")), F.lit(False)) | F.col("min_page").isNull()
-    most = F.coalesce(F.exists("page_numbers", lambda p: p <= F.col("max_page")), F.lit(False)) | F.col("max_page").isNull()
-    paper = F.nullif("filter_paper_id", F.lit("")).isNull() | (F.col("paper_id") == F.col("filter_paper_id"))
-    return scores.join(filters, "query_id").join(meta, "chunk_id").where(some & most & paper).select("query_id", "chunk_id", "raw")
-
-
 def q_bm25_search_filtered(spark: SparkSession, d: str) -> DataFrame:
-    return bm25.rank_hits(_filtered(spark, d))
+    """Queries with their own filters: some page of the chunk reaches each bound."""
+    return bm25.search_each(_index(spark, d), chunks(spark, d, "paper_id", "page_numbers"), search_queries(spark, d))
 
 
 def q_cosine_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -125,19 +125,38 @@ def q_hybrid_rerank(spark: SparkSession, d: str) -> DataFrame:
     return hybrid.rerank(asked, 5).select("query_id", "chunk_id", "cross_score", "final_score", "rank")
 
 
+def letter_embedder(letters: str = "abcdefghijklmnop"):
+    """Counts of letters: an embedder that SQL can express."""
+
+    def embed(texts):
+        return np.array([[t.count(c) for c in letters] for t in texts], dtype=np.float32).reshape(len(texts), len(letters))
+
+    return embed
+
+
+_ENGINES: dict[tuple[str, str], HybridSearchEngine] = {}
+
+
+def _engine(spark: SparkSession, d: str) -> HybridSearchEngine:
+    name = spark.sparkContext.applicationId, d
+    if name not in _ENGINES:
+        kept = store.Collection(spark, f"{ensure_checkpoint_dir(spark)}/vellum-engine-{uuid.uuid4().hex}", SCHEMA, ["chunk_id"])
+        engine = HybridSearchEngine(kept, letter_embedder, hybrid.overlap_score)
+        engine.index(chunks(spark, d, "content_text", "embed_text", "paper_id", "paper_title", "section_title", "section_id", "page_numbers", "is_reference", "indexed_at"))
+        _ENGINES[name] = engine
+    return _ENGINES[name]
+
+
 def q_hybrid_search(spark: SparkSession, d: str) -> DataFrame:
-    """End to end for the queries whose number is divisible by 50: hashed vectors and BM25, fused, reranked."""
+    """The engine end to end for the queries whose number is divisible by 50: vectors and BM25, fused, reranked."""
     asked = search_queries(spark, d).where("query_id % 50 = 0").select("query_id", "query_text")
-    rows = chunks(spark, d, "content_text", "embed_text", "paper_id")
-    vectors = rows.select("chunk_id", embed(F.col("embed_text")).alias("embedding"))
-    near = asked.select("query_id", embed(F.col("query_text")).alias("query_vector"))
-    # a stated query set; held against the scan of all vectors without a broadcast hint, Spark chooses by its size
-    pairs = vectors.crossJoin(near).select("query_id", "chunk_id", F.round(cosine(F.col("embedding"), F.col("query_vector")), 4).alias("raw"))
-    d_hits = bm25.rank_hits(pairs)
-    s_hits = bm25.rank_hits(bm25.score_queries(_index(spark, d), asked))
-    fused = hybrid.fuse(d_hits, s_hits).where("position <= 20")
-    full = hybrid.assemble(fused, rows.select("chunk_id", "content_text", "paper_id")).join(asked, "query_id")
-    return hybrid.rerank(full, 5).select("query_id", "chunk_id", "rrf_score", "cross_score", "rank")
+    return _engine(spark, d).search(asked).select("query_id", "chunk_id", "dense_rank", "sparse_rank", "rrf_score", "cross_score", "rank")
+
+
+def q_hybrid_search_filtered(spark: SparkSession, d: str) -> DataFrame:
+    """The same without reranking, for the pages from 2 to 4."""
+    asked = search_queries(spark, d).where("query_id % 50 = 0").select("query_id", "query_text")
+    return _engine(spark, d).search(asked, search_filter=SearchFilter(min_page=2, max_page=4), rerank=False).select("query_id", "chunk_id", "dense_rank", "sparse_rank", "rrf_score", "rank")
 
 
 def _stored(spark: SparkSession, d: str) -> DataFrame:
@@ -224,7 +243,34 @@ _VECS = f"WITH {c.SQL_EMBEDDED}, good AS (SELECT *, embedding::DOUBLE[64] AS v F
 _RRF = """WITH cur AS (SELECT * FROM (SELECT query_id, chunk_id, dense_rank, sparse_rank, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY retrieved_at DESC NULLS LAST, dense_rank NULLS LAST, dense_score NULLS LAST, sparse_rank NULLS LAST, sparse_score NULLS LAST) AS rn FROM hybrid_results) WHERE rn = 1 AND (dense_rank IS NOT NULL OR sparse_rank IS NOT NULL)),
 f AS (SELECT *, coalesce(1::DOUBLE / (60 + dense_rank), 0) + coalesce(1::DOUBLE / (60 + sparse_rank), 0) AS rrf FROM cur),
 fused AS (SELECT query_id, chunk_id, dense_rank, sparse_rank, round(rrf, 6) AS rrf_score, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, least(coalesce(dense_rank, 26), coalesce(sparse_rank, 26)), chunk_id) AS position FROM f)"""
+_LETTERS = ", ".join(f"length(t) - length(replace(t, '{x}', ''))" for x in "abcdefghijklmnop")
+
+
+def _engine_sql(condition_dense: str, condition_sparse: str, rerank: bool) -> str:
+    """Dense and lexical ranks of the engine's queries, fused; then the order of the reranker or of the fusion."""
+    sql = (
+        _BM
+        + ", ask AS (SELECT query_id, query_text FROM qry WHERE query_id % 50 = 0 AND trim(query_text) <> '')"
+        + _scores("ask")
+        + f", vec AS (SELECT chunk_id, page_numbers, content_text, [{_LETTERS}]::DOUBLE[] AS v FROM (SELECT *, {c.sql_clean("coalesce(embed_text, '')")} AS t FROM chk)), qv AS (SELECT query_id, [{_LETTERS}]::DOUBLE[] AS q FROM (SELECT query_id, {c.sql_clean('query_text')} AS t FROM ask)),"
+        + f" dn0 AS (SELECT query_id, chunk_id, floor(CASE WHEN list_sum(v) = 0 OR list_sum(q) = 0 THEN 0 ELSE list_dot_product(v, q) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(q, q))) END * 10000 + 0.5) AS s FROM vec, qv WHERE {condition_dense}),"
+        + " dn AS (SELECT query_id, chunk_id, dense_rank FROM (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_id) AS dense_rank FROM dn0) WHERE dense_rank <= 25),"
+        + f" sp AS (SELECT query_id, chunk_id, sparse_rank FROM (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(raw, 4) DESC, chunk_id) AS sparse_rank FROM sc WHERE raw > 0 AND chunk_id IN (SELECT chunk_id FROM chk WHERE {condition_sparse})) WHERE sparse_rank <= 25),"
+        + " fu AS (SELECT query_id, chunk_id, dense_rank, sparse_rank, coalesce(1::DOUBLE / (60 + dense_rank), 0) + coalesce(1::DOUBLE / (60 + sparse_rank), 0) AS rrf FROM dn FULL JOIN sp USING (query_id, chunk_id)),"
+        + " po AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, least(coalesce(dense_rank, 26), coalesce(sparse_rank, 26)), chunk_id) AS position FROM fu)"
+    )
+    if not rerank:
+        return sql + " SELECT query_id, chunk_id, dense_rank, sparse_rank, round(rrf, 6) AS rrf_score, position AS rank FROM po WHERE position <= 5"
+    return (
+        sql
+        + f", cs AS (SELECT po.*, coalesce(len(list_intersect({c.sql_tokens('lower(query_text)')}, {c.sql_tokens('lower(content_text)')})), 0)::DOUBLE AS cross_score FROM po JOIN ask USING (query_id) JOIN vec USING (chunk_id) WHERE position <= 20),"
+        + " ra AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cross_score DESC, round(rrf, 6) DESC, chunk_id) AS rank FROM cs) SELECT query_id, chunk_id, dense_rank, sparse_rank, round(rrf, 6) AS rrf_score, cross_score, rank FROM ra WHERE rank <= 5"
+    )
+
+
 ORACLES = {
+    "hybrid_search": _engine_sql("true", "true", True),
+    "hybrid_search_filtered": _engine_sql("coalesce(page_numbers[1], 1) BETWEEN 2 AND 4", "list_max(page_numbers) >= 2 AND list_min(page_numbers) <= 4", False),
     "section_islands": _RUNS + " SELECT doc_id, run, section_title, section_id, count(*) AS n_blocks, min(ordinal) AS first_ordinal FROM runs GROUP BY ALL",
     "chunk_bounds": _CHUNKS + f" SELECT chunk_id, a AS first_sentence, e AS end_sentence, {c.sql_estimate('content_text')} AS token_count, length(content_text)::BIGINT AS char_count FROM made",
     "chunks": _CHUNKS

@@ -2,22 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from vellumspark.operators.store import Collection
-from vellumspark.tables import current_rows
 
 
-def upsert_stream(stream: DataFrame, collection: Collection, ts: str, checkpoint: str, keys: Sequence[str] | None = None, once: bool = False) -> StreamingQuery:
-    """Starts a query that upserts each micro-batch: of rows with one key the latest by `ts` holds, within a batch and against the collection."""
-    keys = list(keys or collection.keys)
+def upsert_stream(stream: DataFrame, collection: Collection, ts: str, checkpoint: str, once: bool = False) -> StreamingQuery:
+    """Starts a query that upserts each micro-batch: of rows with one key the latest by `ts` holds, within a batch and against the collection. Buckets of the collection that a batch doesn't touch are left alone."""
 
     def batch(df: DataFrame, _: int) -> None:
-        rows = current_rows(collection.read().unionByName(df.select(*collection.read().columns)), keys, ts)
-        collection._write(rows.select(*collection.read().columns))
+        collection.merge(df, ts)
 
     writer = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
