@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from vellumspark.functions.headings import formatting, is_false_heading, looks_unnumbered
 from vellumspark.functions.text import strip_ws
-from vellumspark.operators import layout, pooling
+from vellumspark.operators import layout, pooling, word2vec
+from vellumspark.functions.stopwords import MATH_SIGNS, NO_PROSE_STARTS
 from vellumspark.plans import common as c
 from vellumspark.plans.common import blocks, chunks, search_queries
 
@@ -65,9 +66,12 @@ def _word_vectors(spark: SparkSession, d: str) -> DataFrame:
     return words.select("word", F.array(F.length("word").cast("double"), F.ascii("word").cast("double") - 109.0, F.ascii(F.reverse("word")).cast("double") - 109.0).alias("vector"))
 
 
+def _query_words(spark: SparkSession, d: str) -> DataFrame:
+    return search_queries(spark, d).select(F.col("query_id").alias("id"), F.coalesce(F.regexp_extract_all(F.lower("query_text"), F.lit("[a-z]+"), F.lit(0)), F.array().cast("array<string>")).alias("tokens"))
+
+
 def q_pooled_sentence_vectors(spark: SparkSession, d: str) -> DataFrame:
-    asked = search_queries(spark, d).select(F.col("query_id").alias("id"), F.coalesce(F.regexp_extract_all(F.lower("query_text"), F.lit("[a-z]+"), F.lit(0)), F.array().cast("array<string>")).alias("tokens"))
-    pooled = pooling.pool(asked, _word_vectors(spark, d), 3)
+    pooled = pooling.pool(_query_words(spark, d), _word_vectors(spark, d), 3)
     return pooled.select(F.col("id").alias("query_id"), *[F.round(F.get("vector", F.lit(i)), 6).alias(f"v{i}") for i in range(3)])
 
 
@@ -84,10 +88,69 @@ def q_training_tokens(spark: SparkSession, d: str) -> DataFrame:
     return chunks(spark, d, "content_text").select("chunk_id", F.size(F.coalesce(pooling.training_sentences(F.col("content_text")), F.array().cast("array<array<string>>"))).cast("bigint").alias("n_sentences"))
 
 
+def _sentences(spark: SparkSession, d: str) -> DataFrame:
+    return chunks(spark, d, "content_text").select(F.explode(pooling.training_sentences(F.col("content_text"))).alias("tokens"))
+
+
+def q_corpus_totals(spark: SparkSession, d: str) -> DataFrame:
+    return word2vec.corpus_totals(_sentences(spark, d))
+
+
 def q_word2vec_train(spark: SparkSession, d: str) -> DataFrame:
-    sentences = chunks(spark, d, "content_text").select(F.explode(pooling.training_sentences(F.col("content_text"))).alias("tokens"))
-    vectors = pooling.train(sentences, size=16, iterations=1, partitions=4)
-    return vectors.select("word", F.size("vector").cast("bigint").alias("dimensions"))
+    """Skip-gram by MLlib with its defaults but for the number of tasks: the vocabulary, and that every vector is finite."""
+    vectors = pooling.train(_sentences(spark, d), partitions=8)
+    return vectors.select("word", F.size("vector").cast("bigint").alias("dimensions"), F.forall("vector", lambda x: F.abs(x) < 1e6).alias("finite"))
+
+
+def q_weighted_sentence_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Queries pooled with weights that grow with a word's letters; words of up to two letters have none."""
+    asked = _query_words(spark, d)
+    words = _word_vectors(spark, d)
+    pooled = pooling.pool(asked, words, 3, words.select("word", (F.length("word") - 2).cast("double").alias("weight")))
+    return pooled.select(F.col("id").alias("query_id"), *[F.round(F.get("vector", F.lit(i)), 6).alias(f"v{i}") for i in range(3)])
+
+
+def q_sentence_similarity(spark: SparkSession, d: str) -> DataFrame:
+    """Each query with the next."""
+    asked = _query_words(spark, d)
+    pairs = asked.select("id", F.col("tokens").alias("a")).join(asked.select((F.col("id") - 1).alias("id"), F.col("tokens").alias("b")), "id")
+    return word2vec.sentence_similarity(pairs, _word_vectors(spark, d), 3).select(F.col("id").alias("query_id"), F.round("similarity", 6).alias("similarity"))
+
+
+_CASES = (
+    # block_id, page, top, spans (text, size, bold)
+    ("b01", 1, 0, [("Deep Paper Title", 16.0, True)]),
+    ("b02", 1, 80, [("Ann Lee", 11.0, True)]),
+    ("b03", 1, 160, [("Abstract", 12.0, True)]),
+    ("b04", 1, 240, [("We study many things.", 10.0, False)]),
+    ("b05", 1, 320, [("1 Introduction", 12.0, True)]),
+    ("b06", 1, 400, [("See the parts", 12.0, True)]),
+    ("b07", 2, 0, [("2.1 Small Head", 10.0, False)]),
+    ("b08", 2, 80, [("2.1 Plain Large", 12.0, False)]),
+    ("b09", 2, 160, [("Two Lines", 12.0, True)]),
+    ("b10", 2, 175, [("Of Heading", 12.0, True)]),
+    ("b11", 2, 240, [("Proof idea here", 10.0, True), ("It goes on.", 10.0, False)]),
+    ("b12", 2, 320, [("tiny bold words", 9.0, True)]),
+    ("b13", 3, 0, [("50 Things Counted", 12.0, True)]),
+    ("b14", 3, 80, [("A.1 Proofs", 12.0, True)]),
+    ("b15", 3, 160, [("1", 7.0, True), ("Footnote text", 12.0, True)]),
+    ("b16", 3, 240, [("The end of it.", 10.0, False)]),
+)
+
+
+def _cases(spark: SparkSession) -> DataFrame:
+    """A document by hand, one block for each rule."""
+    rows = [("d", i, n, " ".join(t for t, _, _ in spans), page, [0.0, float(top), 300.0, top + 12.0], [(t, size, "Serif-Bold" if bold else "Serif", 0) for t, size, bold in spans]) for n, (i, page, top, spans) in enumerate(_CASES)]
+    return spark.createDataFrame(rows, f"doc_id string, block_id string, ordinal bigint, text string, page_number int, bbox array<double>, spans {_SPANS}")
+
+
+def q_layout_cases(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks of a document by hand after detection."""
+    return layout.detect_sections(_cases(spark))[1].select("block_id", "block_type", "text", "section_id")
+
+
+def q_layout_case_sections(spark: SparkSession, d: str) -> DataFrame:
+    return layout.detect_sections(_cases(spark))[0].select("section_id", "title", "level", "parent_id")
 
 
 QUERIES = {name[2:]: f for name, f in list(globals().items()) if name.startswith("q_")}
@@ -99,7 +162,29 @@ _FALSE = (
     f"{c.sql_words('t')} > 15 OR regexp_matches(lower(t), 'https?://|www\\.|@|arxiv:|arxiv preprint|doi:') OR length(regexp_replace(t, '[^\\p{{Nd}}]', '', 'g')) > 8 OR regexp_matches(t, '^(Note |See |For example,|Figure |Table |Fig\\. |Download |ISBN )')"
     " OR coalesce(try_cast(regexp_extract(number, '^\\d+', 0) AS DOUBLE) >= 50, false)"
 )
+_PROSE = (
+    f"({c.sql_words('s')} BETWEEN 3 AND 65 AND NOT (" + " OR ".join(f"starts_with(lower(s), '{x}')" for x in NO_PROSE_STARTS) + r") AND length(regexp_replace(s, '[^\p{L}]', '', 'g'))::DOUBLE / greatest(length(s), 1) >= 0.65"
+    f" AND NOT {c.sql_contains_any('s', MATH_SIGNS)}" + r" AND regexp_matches(s, '^\p{Lu}'))"
+)
+_TRAIN = f"""WITH {c.SQL_CHUNKS}, sent AS (SELECT chunk_id, list_filter(list_transform(list_filter({c.sql_segment(c.sql_clean('content_text'))}, lambda s: {_PROSE}), lambda s: list_filter({c.sql_tokens('lower(s)')}, lambda t: length(t) > 1)), lambda t: len(t) >= 3) AS ts FROM chk),
+tok AS (SELECT unnest(ts) AS t FROM sent), word AS (SELECT unnest(t) AS w FROM tok)"""
+_POOLED = "q AS (SELECT query_id, unnest(regexp_extract_all(lower(query_text), '[a-z]+')) AS word FROM qry)"
 ORACLES = {
+    "training_tokens": _TRAIN + " SELECT chunk_id, coalesce(len(ts), 0)::BIGINT AS n_sentences FROM sent",
+    "corpus_totals": _TRAIN + " SELECT (SELECT count(*) FROM tok) AS n_sentences, (SELECT count(*) FROM word) AS n_tokens, (SELECT count(DISTINCT w) FROM word) AS n_words",
+    "word2vec_train": _TRAIN + " SELECT w AS word, 100::BIGINT AS dimensions, true AS finite FROM word GROUP BY w HAVING count(*) >= 2",
+    "weighted_sentence_vectors": _VEC
+    + f""", {_POOLED}, p AS (SELECT query_id, sum((length(q.word) - 2) * vector[1]) / sum(length(q.word) - 2) AS a, sum((length(q.word) - 2) * vector[2]) / sum(length(q.word) - 2) AS b, sum((length(q.word) - 2) * vector[3]) / sum(length(q.word) - 2) AS c FROM q JOIN v ON v.word = q.word WHERE length(q.word) > 2 GROUP BY query_id)
+    SELECT qry.query_id, round(coalesce(a, 0), 6) AS v0, round(coalesce(b, 0), 6) AS v1, round(coalesce(c, 0), 6) AS v2 FROM qry LEFT JOIN p ON p.query_id = qry.query_id""",
+    "sentence_similarity": _VEC
+    + f""", {_POOLED}, p AS (SELECT query_id, [avg(vector[1]), avg(vector[2]), avg(vector[3])] AS x FROM q JOIN v ON v.word = q.word GROUP BY query_id)
+    SELECT a.query_id, round(coalesce(list_cosine_similarity(p.x, r.x), 0), 6) AS similarity FROM qry a JOIN qry b ON b.query_id = a.query_id + 1 LEFT JOIN p ON p.query_id = a.query_id LEFT JOIN p r ON r.query_id = b.query_id""",
+    "layout_cases": """SELECT * FROM (VALUES ('b01', 'heading', 'Deep Paper Title', 'sec_1'), ('b02', 'paragraph', 'Ann Lee', 'sec_1'), ('b03', 'heading', 'Abstract', 'sec_2'), ('b04', 'paragraph', 'We study many things.', 'sec_2'),
+    ('b05', 'heading', '1 Introduction', 'sec_3'), ('b06', 'paragraph', 'See the parts', 'sec_3'), ('b07', 'paragraph', '2.1 Small Head', 'sec_3'), ('b08', 'heading', '2.1 Plain Large', 'sec_4'), ('b09', 'heading', 'Two Lines Of Heading', 'sec_5'),
+    ('b11_h', 'heading', 'Proof idea here', 'sec_6'), ('b11_p', 'paragraph', 'It goes on.', 'sec_6'), ('b12', 'paragraph', 'tiny bold words', 'sec_6'), ('b13', 'paragraph', '50 Things Counted', 'sec_6'), ('b14', 'heading', 'A.1 Proofs', 'sec_7'),
+    ('b15', 'paragraph', '1 Footnote text', 'sec_7'), ('b16', 'paragraph', 'The end of it.', 'sec_7')) t(block_id, block_type, text, section_id)""",
+    "layout_case_sections": """SELECT * FROM (VALUES ('sec_1', 'Deep Paper Title', 2, NULL), ('sec_2', 'Abstract', 2, NULL), ('sec_3', '1 Introduction', 1, NULL), ('sec_4', '2.1 Plain Large', 2, 'sec_3'),
+    ('sec_5', 'Two Lines Of Heading', 2, 'sec_3'), ('sec_6', 'Proof idea here', 2, 'sec_3'), ('sec_7', 'A.1 Proofs', 2, 'sec_3')) t(section_id, title, level, parent_id)""",
     "inline_heading_split": _RAW
     + """, s AS (SELECT *, block_type <> 'heading' AND ordinal % 7 = 0 AND len(w) > 5 AS inline, trim(array_to_string(w[1:3], ' ')) AS lead, trim(array_to_string(w[4:], ' ')) AS rest FROM raw), """
     + f"k AS (SELECT *, inline AND {c.sql_words('lead')} BETWEEN 2 AND 10 AND rest <> '' AS cut FROM s) "

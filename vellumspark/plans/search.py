@@ -108,6 +108,18 @@ def q_dense_topk_filtered(spark: SparkSession, d: str) -> DataFrame:
     return top.select("vec_id", "score", "rank")
 
 
+def q_dot_topk(spark: SparkSession, d: str) -> DataFrame:
+    query = [float(x) for x in range(-32, 32)]
+    return dense.by_dot_product(_usable(spark, d), query, 10, "vec_id").select("vec_id", F.round("score", 4).alias("score"))
+
+
+def q_best_match(spark: SparkSession, d: str) -> DataFrame:
+    """The most similar of the vectors with an odd number for each whose number is divisible by 50."""
+    rows = _usable(spark, d)
+    asked = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    return dense.best_sentence(rows.where("vec_id % 2 = 1").select("vec_id", F.col("embedding").alias("vector")), asked, "vec_id")
+
+
 def _fused(spark: SparkSession, d: str) -> DataFrame:
     hits = current_rows(load(spark, d, "hybrid_results"), ["query_id", "chunk_id"], "retrieved_at", ["dense_rank", "dense_score", "sparse_rank", "sparse_score"])
     of = lambda side: hits.where(F.col(f"{side}_rank").isNotNull()).select("query_id", "chunk_id", F.col(f"{side}_rank").alias("rank"), F.col(f"{side}_score").alias("score"))
@@ -287,6 +299,8 @@ ORACLES = {
     + _RANKED.format("fl"),
     "cosine_pairs": _VECS + " SELECT a.vec_id, round(array_cosine_similarity(a.v, b.v), 6) AS similarity FROM good a JOIN good b ON b.vec_id = a.vec_id + 1",
     "dense_topk": _VECS + ", s AS (SELECT vec_id, round(array_cosine_similarity(v, qv), 4) AS score FROM good, q) SELECT vec_id, score, round(1 - score, 4) AS distance, row_number() OVER (ORDER BY score DESC, vec_id) AS rank FROM s ORDER BY score DESC, vec_id LIMIT 10",
+    "dot_topk": _VECS + ", s AS (SELECT vec_id, list_dot_product(v, list_transform(range(-32, 32), lambda x: x::DOUBLE)) AS s FROM good) SELECT vec_id, round(s, 4) AS score FROM s ORDER BY s DESC, vec_id LIMIT 10",
+    "best_match": _VECS + ", s AS (SELECT a.vec_id AS query_id, b.vec_id, floor(array_cosine_similarity(a.v, b.v) * 10000 + 0.5) / 10000 AS similarity FROM good a JOIN good b ON a.vec_id % 50 = 0 AND b.vec_id % 2 = 1) SELECT query_id, vec_id, similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rn FROM s) WHERE rn = 1",
     "dense_topk_filtered": _VECS + ", s AS (SELECT vec_id, round(array_cosine_similarity(v, qv), 4) AS score FROM good, q WHERE page_number BETWEEN 2 AND 4 AND paper_id <> '2119_99999') SELECT vec_id, score, row_number() OVER (ORDER BY score DESC, vec_id) AS rank FROM s ORDER BY score DESC, vec_id LIMIT 10",
     "rrf_fusion": _RRF + " SELECT query_id, chunk_id, dense_rank, sparse_rank, rrf_score, position FROM fused",
     "hybrid_rerank": _RRF
