@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from vellumspark.functions.prose import Split, is_reference_title, segment
 from vellumspark.functions.text import clean_text, token_estimate, word_count
 
+#: What a page adds to a block's ordinal.
+PAGE_STEP = 100_000
 BOUNDS = "array<struct<first:int,end:int,tail:int>>"
 
 
@@ -65,11 +67,19 @@ def section_runs(blocks: DataFrame, sections: DataFrame, least_words: int = 3) -
     titled = sections.select("doc_id", "section_id", F.col("title").alias("_title"))
     rows = blocks.join(titled, ["doc_id", "section_id"], "left").withColumn("text", clean_text(F.col("text"))).where(word_count(F.col("text")) >= least_words)
     rows = rows.withColumn("section_title", F.coalesce(F.nullif("_title", F.lit("")), F.lit("Main Content")))
-    reading = Window.partitionBy("doc_id").orderBy("ordinal", "block_id")
-    changed = F.coalesce(F.lag("section_title").over(reading) != F.col("section_title"), F.lit(True))
-    rows = rows.withColumn("_new", changed.cast("int")).withColumn("run", F.sum("_new").over(reading.rowsBetween(Window.unboundedPreceding, 0)))
-    first = F.max(F.when(F.col("_new") == 1, F.struct("ordinal", "section_id"))).over(reading.rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("section_id", first["section_id"]).select("doc_id", "run", "section_title", "section_id", "ordinal", "block_id", "page_number", "text")
+    # runs are counted within pages and across them, so that no task holds a whole document
+    rows = rows.withColumn("_part", F.floor(F.col("ordinal") / PAGE_STEP))
+    place = F.struct("ordinal", "block_id")
+    page = Window.partitionBy("doc_id", "_part").orderBy("ordinal", "block_id")
+    rows = rows.withColumn("_new", F.coalesce((F.lag("section_title").over(page) != F.col("section_title")).cast("int"), F.lit(0)))
+    rows = rows.withColumn("_here", F.sum("_new").over(page.rowsBetween(Window.unboundedPreceding, 0)))
+    pages = rows.groupBy("doc_id", "_part").agg(F.sum("_new").alias("_changes"), F.min_by("section_title", place).alias("_head"), F.max_by("section_title", place).alias("_foot"))
+    book = Window.partitionBy("doc_id").orderBy("_part")  # one row a page
+    pages = pages.withColumn("_begins", F.coalesce((F.lag("_foot").over(book) != F.col("_head")).cast("int"), F.lit(1)))
+    pages = pages.withColumn("_earlier", F.sum(F.col("_begins") + F.col("_changes")).over(book.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_changes"))
+    rows = rows.join(pages.select("doc_id", "_part", "_earlier"), ["doc_id", "_part"]).withColumn("run", F.col("_earlier") + F.col("_here"))
+    first = rows.groupBy("doc_id", "run").agg(F.min_by("section_id", place).alias("section_id"))
+    return rows.drop("section_id").join(first, ["doc_id", "run"]).select("doc_id", "run", "section_title", "section_id", "ordinal", "block_id", "page_number", "text")
 
 
 def sentence_units(runs: DataFrame, split: Split = segment) -> DataFrame:

@@ -6,7 +6,7 @@ font, flags).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -16,6 +16,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from vellumspark.functions.headings import formatting, heading_level, is_blank_span, is_bold, is_false_heading, is_numbered, looks_unnumbered
 from vellumspark.functions.text import strip_ws, word_count
 
+SPANS = "array<struct<text:string,font_size:double,font:string,flags:int>>"
 BLOCK = "struct<block_id:string,ordinal:bigint,part:int,text:string,page_number:int,bbox:array<double>,spans:array<struct<text:string,font_size:double,font:string,flags:int>>>"
 
 
@@ -38,35 +39,57 @@ def split_inline_headings(blocks: DataFrame) -> DataFrame:
     return rows.select("doc_id", "ordinal", "page_number", "bbox", F.explode("_parts").alias("_q")).select("doc_id", "_q.block_id", "ordinal", "_q.part", "_q.text", "page_number", "bbox", "_q.spans")
 
 
-def _continues(a: Column, b: Column) -> Column:
-    """Whether block b is a further line of heading a."""
-    fa, fb = formatting(a["spans"]), formatting(b["spans"])
-    gap = b["bbox"][1] - a["bbox"][3]
-    beside = F.least(a["bbox"][2], b["bbox"][2]) > F.greatest(a["bbox"][0], b["bbox"][0])
-    near = (gap >= -5.0) & (gap <= F.greatest(F.lit(20.0), 1.8 * fa["size"]))
-    short = F.length(a["text"]) + 1 + F.length(b["text"]) <= 200
-    return F.coalesce(fa["bold"] & fb["bold"] & (F.abs(fa["size"] - fb["size"]) <= 0.2) & ~is_numbered(strip_ws(b["text"])) & near & beside & short, F.lit(False))
+RUNS = "array<struct<start:int,count:int>>"
 
 
-def _merged(a: Column, b: Column) -> Column:
-    box = F.array(*[(F.least if i < 2 else F.greatest)(a["bbox"][i], b["bbox"][i]) for i in range(4)])
-    return F.struct(
-        a["block_id"].alias("block_id"), a["ordinal"].alias("ordinal"), a["part"].alias("part"), F.concat(strip_ws(a["text"]), F.lit(" "), strip_ws(b["text"])).alias("text"), a["page_number"].alias("page_number"), box.alias("bbox"), F.concat(a["spans"], b["spans"]).alias("spans")
-    )
+def heading_runs(rows: Sequence[dict]) -> list[tuple[int, int]]:
+    """(first, number) of the blocks of a page that are one: a fold, as the lines merged so far are what the next is held against. Each row has size, bold, numbered, chars and bbox."""
+    out: list[tuple[int, int]] = []
+    size = chars = 0
+    bold, box = False, None
+    for i, r in enumerate(rows):
+        own = r["bbox"]
+        known = own is not None and len(own) == 4 and None not in own
+        if out and bold and r["bold"] and not r["numbered"] and box and known and abs(size - r["size"]) <= 0.2 and chars + 1 + r["chars"] <= 200:
+            gap = own[1] - box[3]
+            if -5.0 <= gap <= max(20.0, 1.8 * size) and min(box[2], own[2]) > max(box[0], own[0]):
+                out[-1] = (out[-1][0], out[-1][1] + 1)
+                size, chars = max(size, r["size"]), chars + 1 + r["chars"]
+                box = [min(box[0], own[0]), min(box[1], own[1]), max(box[2], own[2]), max(box[3], own[3])]
+                continue
+        out.append((i, 1))
+        size, chars, bold, box = r["size"], r["chars"], r["bold"], own if known else None
+    return out
 
 
 def merge_heading_lines(blocks: DataFrame) -> DataFrame:
-    """Neighbouring bold lines of one size and place become one block; a fold, as a merged block is what the next line is held against. Lines merge within a page only, so a page is all that comes together in one row."""
-    item = F.struct("block_id", F.col("ordinal").cast("bigint").alias("ordinal"), "part", "text", F.col("page_number").cast("int").alias("page_number"), F.col("bbox").cast("array<double>").alias("bbox"), "spans").cast(BLOCK)
-    pages = blocks.where(strip_ws("text") != "").groupBy("doc_id", "page_number").agg(F.array_sort(F.collect_list(F.struct("ordinal", "part", item.alias("b")))).alias("_page"))
+    """Neighbouring bold lines of one size and place become one block. Lines merge within a page only, so a page is all that comes together in a row; which lines merge is told from their measures, texts stay in the JVM."""
 
-    def step(done: Column, row: Column) -> Column:
-        last, b = F.element_at(done, -1), row["b"]
-        return F.when((F.size(done) > 0) & _continues(last, b), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(_merged(last, b).cast(BLOCK)))).otherwise(F.concat(done, F.array(b)))
+    @F.arrow_udf(RUNS)
+    def runs(pages: pa.Array) -> pa.Array:
+        kind = pa.list_(pa.struct([("start", pa.int32()), ("count", pa.int32())]))
+        return pa.array([[{"start": a, "count": n} for a, n in heading_runs(p)] for p in pages.to_pylist()], kind)
 
-    # try_element_at would do as well: element_at of an empty array is not evaluated behind the size test
-    folded = pages.select("doc_id", F.explode(F.aggregate(F.slice("_page", 2, F.greatest(F.size("_page") - 1, F.lit(0))), F.array(F.get("_page", F.lit(0))["b"]).cast(f"array<{BLOCK}>"), step)).alias("_b"))
-    return folded.select("doc_id", "_b.*")
+    item = F.struct("block_id", F.col("ordinal").cast("bigint").alias("ordinal"), "part", "text", F.col("page_number").cast("int").alias("page_number"), F.col("bbox").cast("array<double>").alias("bbox"), "spans").cast(BLOCK)
+    look = formatting(F.col("spans"))
+    measure = F.struct(look["size"].alias("size"), look["bold"].alias("bold"), is_numbered(strip_ws("text")).alias("numbered"), F.length(strip_ws("text")).alias("chars"), F.col("bbox").cast("array<double>").alias("bbox"))
+    rows = blocks.where(strip_ws("text") != "").select("doc_id", "page_number", "ordinal", "part", item.alias("b"), measure.alias("m"))
+    pages = rows.groupBy("doc_id", "page_number").agg(F.array_sort(F.collect_list(F.struct("ordinal", "part", "b", "m"))).alias("_page"))
+    found = pages.select("doc_id", F.col("_page.b").alias("_b"), runs(F.col("_page.m")).alias("_runs"))
+    lines = found.select("doc_id", F.explode(F.transform("_runs", lambda r: F.slice("_b", r["start"] + 1, r["count"]))).alias("_l"))
+    head = lambda name: F.get("_l", F.lit(0))[name]
+    several = F.size("_l") > 1
+    edge = lambda i: (F.array_min if i < 2 else F.array_max)(F.transform("_l", lambda b: b["bbox"][i]))
+    return lines.select(
+        "doc_id",
+        head("block_id").alias("block_id"),
+        head("ordinal").alias("ordinal"),
+        head("part").alias("part"),
+        F.when(several, F.array_join(F.transform("_l", lambda b: strip_ws(b["text"])), " ")).otherwise(head("text")).alias("text"),
+        head("page_number").alias("page_number"),
+        F.when(several, F.array(*[edge(i) for i in range(4)])).otherwise(head("bbox")).alias("bbox"),
+        F.flatten(F.transform("_l", lambda b: F.coalesce(b["spans"], F.array().cast(SPANS)))).alias("spans"),
+    )
 
 
 def classify(blocks: DataFrame) -> DataFrame:
