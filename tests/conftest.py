@@ -12,6 +12,6 @@ os.environ.setdefault("TZ", "UTC")
 def spark():
     from vellumspark.session import local_session
 
-    session = local_session(memory="6g", shuffle_partitions=4)
+    session = local_session(memory="6g", shuffle_partitions=2)
     yield session
     session.stop()

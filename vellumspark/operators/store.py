@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellumspark.functions.metadata import flatten_metadata
-from vellumspark.tables import current_rows, written
+from vellumspark.tables import current_rows, measured
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -121,28 +121,27 @@ class Collection:
                 fs, path = self._fs(f"{self.folder}/data/{v}")
                 fs.delete(path, True)
 
-    def _touched(self, keys: DataFrame) -> list[int]:
-        return sorted(r[0] for r in keys.select(self._bucket().alias("b")).distinct().collect())
+    def _staged(self, rows: DataFrame) -> tuple[DataFrame, list[int]]:
+        """Rows written once, and the buckets of their keys."""
+        rows, seen = measured(rows, buckets=F.collect_set(self._bucket()))
+        return rows, sorted(seen["buckets"] or ())
 
     def upsert(self, rows: DataFrame) -> None:
         """Rows with each key once; of the buckets that hold none of the keys nothing is read or written."""
-        rows = written(rows)
-        touched = self._touched(rows)
+        rows, touched = self._staged(rows)
         if touched:
             self._write(upsert(self._read(self._state()[1], touched), rows, self.keys), touched)
 
     def merge(self, rows: DataFrame, ts: str) -> None:
         """Rows with repeated keys; of those and of what is there the latest by `ts` holds."""
-        rows = written(current_rows(rows, self.keys, ts))
-        touched = self._touched(rows)
+        rows, touched = self._staged(current_rows(rows, self.keys, ts))
         if touched:
             old = self._read(self._state()[1], touched)
             self._write(current_rows(old.unionByName(rows.select(*old.columns)), self.keys, ts), touched)
 
     def remove(self, keys: DataFrame) -> int:
         """Without the rows of these keys; how many there were."""
-        keys = written(keys.select(*self.keys).distinct())
-        touched = self._touched(keys)
+        keys, touched = self._staged(keys.select(*self.keys).distinct())
         table = self._read(self._state()[1], touched)
         n = table.join(keys, self.keys, "left_semi").count()
         if n:
