@@ -65,7 +65,7 @@ def test_copies_ties_and_unusable_vectors(spark):
 
 def test_parts():
     assert perturbations(2, lowest=3, largest=2) == [(0,), (1,), (2,), (0, 1), (0, 2), (1, 2)]
-    assert hamming_limit(1.0) == 0 and 38 <= hamming_limit(0.9) < 40
+    assert hamming_limit(1.0) == 0 and hamming_limit(0.9, 128) == 39 and hamming_limit(0.9) == 52
     assert Hashing.for_size(100_000).functions == 12 and Hashing.for_size(10**9).functions > 17
 
 

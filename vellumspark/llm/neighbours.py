@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 from vellumspark.tables import cut, measured, observed, release, written
 
 #: Bits of the sketch that travels with buckets, and of the longer one that is looked up for the pairs that it leaves.
-SKETCH_BITS, MARK_BITS = 128, 256
+SKETCH_BITS, MARK_BITS = 192, 256
+SKETCH = [f"s{i}" for i in range(SKETCH_BITS // 64)]
 ROWS_AT_ONCE = 2_000
 #: Part of the pairs at the least cosine that the tables bring together, whatever the number of vectors.
 RECALL = 0.99
@@ -173,7 +174,7 @@ def _hashed(h: Hashing):
                 own, probed, bits = tables.buckets(x)
                 for m in (own, probed):
                     lists.append(pa.ListArray.from_arrays(pa.array(np.arange(0, m.size + 1, m.shape[1]), pa.int32()), pa.array(np.ascontiguousarray(m).ravel(), pa.int64())))
-                yield pa.record_batch([part.column(0), *lists, pa.array(bits[:, 0], pa.int64()), pa.array(bits[:, 1], pa.int64())], names=["id", "own", "probed", "s0", "s1"])
+                yield pa.record_batch([part.column(0), *lists, *[pa.array(b, pa.int64()) for b in bits.T]], names=["id", "own", "probed", *SKETCH])
 
     return run
 
@@ -196,11 +197,11 @@ def _units(df: DataFrame, key: str, vector: str, dimensions: int) -> DataFrame:
 def _met(reps: DataFrame, h: Hashing, kind: str, min_cosine: float, k: int, hot_rows: int) -> DataFrame:
     """a, b: the pairs that meet in a table and whose sketches are near; of a bucket of more than `hot_rows` vectors only the k nearest of each in each part."""
     # not kept: the hashes of a vector take more room than the vector, and less time to make again than to write and read
-    hashed = reps.mapInArrow(_hashed(h), f"id {kind}, own array<long>, probed array<long>, s0 long, s1 long")
-    lying = hashed.select(F.explode("own").alias("bucket"), F.col("id").alias("b"), F.col("s0").alias("t0"), F.col("s1").alias("t1"))
+    hashed = reps.mapInArrow(_hashed(h), f"id {kind}, own array<long>, probed array<long>, " + ", ".join(f"{c} long" for c in SKETCH))
+    lying = hashed.select(F.explode("own").alias("bucket"), F.col("id").alias("b"), *[F.col(c).alias(f"t_{c}") for c in SKETCH])
     lying = lying.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("bucket")))  # in the join's own order: no further shuffle or sort
-    looking = hashed.select(F.explode(F.concat("own", "probed")).alias("bucket"), F.col("id").alias("a"), "s0", "s1")
-    apart = F.bit_count(F.col("s0").bitwiseXOR(F.col("t0"))) + F.bit_count(F.col("s1").bitwiseXOR(F.col("t1")))
+    looking = hashed.select(F.explode(F.concat("own", "probed")).alias("bucket"), F.col("id").alias("a"), *SKETCH)
+    apart = reduce(Column.__add__, [F.bit_count(F.col(c).bitwiseXOR(F.col(f"t_{c}"))) for c in SKETCH])
     seen = Observation()
     watched = lying.observe(seen, F.count_if(F.col("n") > hot_rows).alias("hot"))
     met = looking.join(watched.where(F.col("n") <= hot_rows), "bucket").where((F.col("a") != F.col("b")) & (apart <= hamming_limit(min_cosine)))
