@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +14,7 @@ from vellumspark.operators.filters import SearchFilter, compile_where
 from vellumspark.plans import common as c
 from vellumspark.plans.common import blocks, chunks, embedded, papers, search_queries, sections
 from vellumspark.streaming.ingest import upsert_stream
-from vellumspark.tables import current_rows, ensure_checkpoint_dir, load
+from vellumspark.tables import current_rows, load, own_folder
 
 USABLE_DIM = 64
 
@@ -28,7 +26,7 @@ def _index(spark: SparkSession, d: str) -> bm25.BM25Index:
     """The lexical index of a folder's chunks, built by the first query of a session that needs it and read by all."""
     name = spark.sparkContext.applicationId, d
     if name not in _INDEXES:
-        stored = bm25.StoredBM25(spark, f"{ensure_checkpoint_dir(spark)}/vellum-bm25-{uuid.uuid4().hex}")
+        stored = bm25.StoredBM25(spark, own_folder(spark))
         stored.fit(chunks(spark, d, "embed_text"))
         _INDEXES[name] = stored
     return _INDEXES[name].index()
@@ -152,7 +150,7 @@ _ENGINES: dict[tuple[str, str], HybridSearchEngine] = {}
 def _engine(spark: SparkSession, d: str) -> HybridSearchEngine:
     name = spark.sparkContext.applicationId, d
     if name not in _ENGINES:
-        kept = store.Collection(spark, f"{ensure_checkpoint_dir(spark)}/vellum-engine-{uuid.uuid4().hex}", SCHEMA, ["chunk_id"])
+        kept = store.Collection(spark, f"{own_folder(spark)}/chunks", SCHEMA, ["chunk_id"])
         engine = HybridSearchEngine(kept, letter_embedder, hybrid.overlap_score)
         engine.index(chunks(spark, d, "content_text", "embed_text", "paper_id", "paper_title", "section_title", "section_id", "page_numbers", "is_reference", "indexed_at"))
         _ENGINES[name] = engine
@@ -203,7 +201,7 @@ def q_collection_stats(spark: SparkSession, d: str) -> DataFrame:
 
 def q_stream_upsert(spark: SparkSession, d: str) -> DataFrame:
     """The chunks as a stream of files into a collection, to its end."""
-    folder = f"{ensure_checkpoint_dir(spark)}/vellum-stream-{uuid.uuid4().hex}"
+    folder = own_folder(spark)
     schema = "chunk_id string, paper_id string, token_count int, indexed_at timestamp_ntz"
     kept = store.Collection(spark, f"{folder}/table", schema, ["chunk_id"])
     stream = spark.readStream.schema(schema).parquet(f"{d}/chunks.parquet*")

@@ -56,15 +56,21 @@ def written(df: DataFrame) -> DataFrame:
 
 def measured(df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict]:
     """`df` written as `written` does, with aggregates over its rows that the same job takes."""
-    folder = f"{ensure_checkpoint_dir(df.sparkSession)}/vellum-{uuid.uuid4().hex}"
+    folder = own_folder(df.sparkSession)
     seen = Observation()
     rows = df.observe(seen, *[c.alias(n) for n, c in metrics.items()]) if metrics else df
     rows.write.option("compression", "zstd").parquet(folder)
-    atexit.register(_remove, df.sparkSession, folder)
     table = df.sparkSession.read.schema(df.schema).parquet(folder)
     return table, observed(seen, lambda: table.agg(*[c.alias(n) for n, c in metrics.items()]).first().asDict()) if metrics else {}
 
 
+def own_folder(spark: SparkSession) -> str:
+    """A new folder below the checkpoint folder, removed when Python ends."""
+    folder = f"{ensure_checkpoint_dir(spark)}/vellum-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, folder)
+    return folder
+
+
 def observed(seen: Observation, otherwise: Callable[[], dict]) -> dict:
     """What an observation saw. Where adaptive execution found its rows to be empty and dropped it from the plan, `otherwise` counts them."""
     try:
