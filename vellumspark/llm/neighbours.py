@@ -35,7 +35,7 @@ ROWS_AT_ONCE = 2_000
 #: Part of the pairs at the least cosine that the tables bring together, whatever the number of vectors.
 RECALL = 0.99
 #: Tables whose buckets are shuffled at once; further ones follow when the pairs of these are written, so disk doesn't grow with tables.
-TABLES_AT_ONCE = 4
+TABLES_AT_ONCE = 3
 #: Rows of a bucket beyond which its pairs are not written: parts of it are compared in blocks, and each part gives a vector's k nearest alone.
 HOT_ROWS = 2_000
 #: Rows of a block of a scan.
@@ -272,10 +272,13 @@ def nearest(df: DataFrame, key: str, vector: str, k: int = 10, min_cosine: float
     least = NEAR if min_cosine is None else min_cosine
     units = _units(df, key, vector, dimensions)
     place = F.row_number().over(Window.partitionBy("class").orderBy("id"))
-    firsts = cut(units.select("id", "class").withColumn("n", place).where(F.col("n") <= k + 1))
+    placed = written(units.select("id", "class").withColumn("n", place))
+    firsts = placed.where(F.col("n") <= k + 1)
     heads = firsts.where("n = 1").select("id", F.col("class").alias("_class"))
+    # copies are taken away, not heads picked out: where they are few, as Spark sees by the table's size, no vector is shuffled
+    copies = written(placed.where("n > 1").select("id"))
     # written: each group of tables reads them again
-    reps, seen = measured(units.join(heads.select("id"), "id", "left_semi").select("id", "unit"), n=F.count(F.lit(1)))
+    reps, seen = measured(units.join(copies, "id", "left_anti").select("id", "unit"), n=F.count(F.lit(1)))
     h = (hashing or (lambda n: Hashing.for_size(n, dimensions, least)))(seen["n"])
     both = _near(reps, units, h, kind, k, least, hot_rows)
     # classes: the members that a list can need, the class's own ones first
@@ -292,7 +295,7 @@ def nearest(df: DataFrame, key: str, vector: str, k: int = 10, min_cosine: float
     lists = own.unionByName(others).withColumn("n", F.row_number().over(Window.partitionBy("a").orderBy(*order))).where(F.col("n") <= k + 1)
     # most lists of near vectors hold their own vector alone
     lists = lists.withColumn("_size", F.count(F.lit(1)).over(Window.partitionBy("a"))).where("_size > 1").drop("n", "_size")
-    everyone = units.select("id", "class").join(heads.select(F.col("id").alias("a"), F.col("_class").alias("class")), "class").select("id", "a")
+    everyone = placed.select("id", "class").join(heads.select(F.col("id").alias("a"), F.col("_class").alias("class")), "class").select("id", "a")
     out = everyone.join(lists, "a").where(F.col("id") != F.col("neighbour"))
     ranked = out.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(*order))).where(F.col("rank") <= k)
     return ranked.select(F.col("id").alias(key), "neighbour", F.round(F.least("cosine", F.lit(1.0)), 6).alias("cosine"), "rank")
