@@ -235,10 +235,12 @@ def _near(reps: DataFrame, marks: DataFrame, h: Hashing, kind: str, k: int, min_
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
     best = both.withColumn("n", F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))).where(F.col("n") <= k).select("a", "b")
     second = best.select(F.col("b").alias("c"), "a").join(best.select(F.col("a").alias("c"), "b"), "c").where(F.col("a") < F.col("b")).select("a", "b")
-    pairs = pairs.select("a", "b").unionByName(second).distinct()
-    # renamed only after the join: so both joins read the same shuffle of vectors
-    first = pairs.join(reps, F.col("a") == F.col("id")).select("a", "b", F.col("unit").alias("u"))
-    exact = first.join(reps, F.col("b") == F.col("id")).select("a", "b", _cosine(F.col("u"), F.col("unit")).alias("cosine")).where(F.col("cosine") >= min_cosine)
+    pairs = written(pairs.select("a", "b").unionByName(second).distinct())
+    # only the vectors that are in a pair are moved; where pairs are few, as Spark sees by the table's size, no other is read twice
+    wanted = written(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
+    units = written(reps.join(wanted, "id", "left_semi"))
+    first = pairs.join(units, F.col("a") == F.col("id")).select("a", "b", F.col("unit").alias("u"))
+    exact = first.join(units, F.col("b") == F.col("id")).select("a", "b", _cosine(F.col("u"), F.col("unit")).alias("cosine")).where(F.col("cosine") >= min_cosine)
     exact = cut(exact)
     return exact.unionByName(exact.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine"))
 
