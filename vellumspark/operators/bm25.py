@@ -142,7 +142,7 @@ def score_queries(index: BM25Index, queries: DataFrame, query_id: str = "query_i
 def rank_hits(scores: DataFrame, k: int = 25) -> DataFrame:
     """query_id, chunk_id, score, rank: scores rounded to 4 places order first, then chunk_id."""
     rounded = scores.select("query_id", "chunk_id", F.round("raw", 4).alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("chunk_id"))
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.asc_nulls_last("chunk_id"))
     return rounded.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from vellumspark.functions.stopwords import SEARCH_STOPWORDS
 from vellumspark.functions.vectors import cosine, is_usable
+from vellumspark.operators import blocks as postings
 from vellumspark.operators import bm25, chunking, dense, hybrid, store
 from vellumspark.operators.engine import SCHEMA, HybridSearchEngine
 from vellumspark.operators.filters import SearchFilter, compile_where
@@ -32,6 +33,19 @@ def _index(spark: SparkSession, d: str) -> bm25.BM25Index:
     return _INDEXES[name].index()
 
 
+_BLOCKS: dict[tuple[str, str], DataFrame] = {}
+# All columns in the order of the SQL, which decides between rows of a chunk that are equally late.
+_COLUMNS = "content_text embed_text token_count char_count paper_id paper_title section_title section_id page_numbers source_block_ids chunk_type is_reference".split()
+
+
+def _blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Postings of a folder's chunks for tables of queries, built by the first query of a session that needs them."""
+    name = spark.sparkContext.applicationId, d
+    if name not in _BLOCKS:
+        _BLOCKS[name] = postings.build(chunks(spark, d, *_COLUMNS))
+    return _BLOCKS[name]
+
+
 def _usable(spark: SparkSession, d: str, *payload: str) -> DataFrame:
     return embedded(spark, d, "embedding", *payload).where(is_usable(F.col("embedding"), USABLE_DIM))
 
@@ -80,7 +94,8 @@ def q_bm25_batch(spark: SparkSession, d: str) -> DataFrame:
 
 def q_bm25_search_filtered(spark: SparkSession, d: str) -> DataFrame:
     """Queries with their own filters: some page of the chunk reaches each bound."""
-    return bm25.search_each(_index(spark, d), chunks(spark, d, "paper_id", "page_numbers"), search_queries(spark, d))
+    filters = F.nullif("filter_paper_id", F.lit("")), F.col("min_page"), F.col("max_page")
+    return postings.best_hits(_blocks(spark, d), search_queries(spark, d), filters=filters)
 
 
 def q_cosine_pairs(spark: SparkSession, d: str) -> DataFrame:
