@@ -63,6 +63,11 @@ def test_queries_with_filters_are_as_in_sql_without_all_pairs(spark, made, monke
     assert scored < 4 * hits
 
 
+def test_a_table_of_queries_is_as_in_sql_without_all_pairs(spark, made, monkeypatch):
+    scored, hits = held_against_sql(spark, made, "bm25_batch", monkeypatch)
+    assert scored < 4 * hits
+
+
 def by_brute_force(chunks, queries, idf, mean, k):
     """k best by rounded score, then by chunk; queries: paper, least, most, weights of terms."""
     out = {}

@@ -89,7 +89,7 @@ def q_bm25_search(spark: SparkSession, d: str) -> DataFrame:
 
 def q_bm25_batch(spark: SparkSession, d: str) -> DataFrame:
     """The table of queries, each over the whole corpus."""
-    return bm25.rank_hits(bm25.score_queries(_index(spark, d), search_queries(spark, d)))
+    return postings.best_hits(_blocks(spark, d), search_queries(spark, d))
 
 
 def q_bm25_search_filtered(spark: SparkSession, d: str) -> DataFrame:
